@@ -241,7 +241,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = docs.select("id", "text").mapInArrow(_run_rows, "id long, off int, n short, a long, b long, seen boolean")
     placed = Window.partitionBy("a", "b").orderBy("id", "off")
     marked = (
-        runs.withColumn("rank", F.rank().over(placed))
+        runs.repartition("a")  # serves both windows
+        .withColumn("rank", F.rank().over(placed))
         .withColumn("kinds", F.max(F.when(~F.col("seen"), F.col("b"))).over(Window.partitionBy("a")) != F.min(F.when(~F.col("seen"), F.col("b"))).over(Window.partitionBy("a")))
         .select("id", "off", "n", "a", (F.col("seen") | (F.col("rank") > 1)).alias("whole"), "kinds")
         .where("whole or kinds")
