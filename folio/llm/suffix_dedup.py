@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import materialize
 
-ANCHOR = 32
+ANCHOR = 48
 LENGTH = 100
 #: Bytes that are named at a time, and bits of a key that hold a position in such a block.
 BLOCK, BITS = 1 << 19, 24
@@ -55,7 +55,7 @@ def _pair(a, b):
 
 
 class Names:
-    """Names of the strings of 4, 32 and 64 bytes at each position of a block."""
+    """Names of the strings of 4, 32, 48 (an anchor) and 64 bytes at each position of a block."""
 
     def __init__(self, data: np.ndarray):
         h, self.by = _BYTE_NAMES[data], {}
@@ -63,6 +63,8 @@ class Names:
             h = _pair(h[: max(0, len(h) - n)], h[n:])
             if 2 * n in (4, 32, 64):
                 self.by[2 * n] = h
+        half = self.by[32]
+        self.by[ANCHOR] = _pair(half[: max(0, len(half) - ANCHOR + 32)], half[ANCHOR - 32 :])
 
     def window(self, at: np.ndarray) -> np.ndarray:
         """Names of the strings of 100 bytes at these positions."""
