@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import work_dir
+from folio.llm.common import materialize, work_dir
 
 SEGMENT, CHUNK, LEAST_REVISIT = 64_000, 16_000, 1000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -108,42 +108,56 @@ def _fields(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def _read(batches):
-    bare = lambda x: x[1:-1] if x else None
-    for pdf in batches:
-        for content in pdf["content"]:
-            out, held = [], 0
-            for record in _members(bytes(content)):
-                f, block = _fields(record)
-                get = f.get
-                out.append((get("warc-type"), bare(get("warc-record-id")), get("warc-target-uri"), get("warc-payload-digest"), bare(get("warc-refers-to")), bare(get("warc-segment-origin-id")), int(get("warc-segment-number", 0)), int(get("warc-segment-total-length", 0)), block))
-                held += len(block)
-                if held > 8_000_000:
-                    yield pd.DataFrame(out, columns=RECORD_COLUMNS)
-                    out, held = [], 0
-            yield pd.DataFrame(out, columns=RECORD_COLUMNS)
+def _decoded(block: bytes, total: int) -> tuple[bytes | None, str | None]:
+    """The payload of a response block, or what is wrong with it; ``total`` is the length it should have, or 0."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    try:
+        if total and total != len(block):
+            raise ValueError(f"{len(block)} of {total} bytes")
+        return (unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body), None
+    except ValueError as e:
+        return None, str(e)
+
+
+def _found(kind: str, block: bytes, total: int) -> tuple:
+    payload, error = (None, None) if kind == "revisit" else _decoded(block, total)
+    return payload, error, None if payload is None else hashlib.sha1(payload).hexdigest()
+
+
+def _read(cut: bool):
+    """Records that are segments, with their blocks, or all others, with their payloads."""
+
+    def rows(batches):
+        bare = lambda x: x[1:-1] if x else None
+        columns = HEAD + (["segment", "total", "block"] if cut else ["payload", "error", "found"])
+        for pdf in batches:
+            for content in pdf["content"]:
+                out, held = [], 0
+                for record in _members(bytes(content)):
+                    f, block = _fields(record)
+                    get = f.get
+                    if cut != ("warc-segment-number" in f) or get("warc-type") not in ("response", "revisit", "continuation"):
+                        continue
+                    rest = (int(get("warc-segment-number")), int(get("warc-segment-total-length", 0)), block) if cut else _found(get("warc-type"), block, 0)
+                    own = bare(get("warc-segment-origin-id")) or bare(get("warc-record-id"))
+                    out.append((get("warc-type"), own, get("warc-target-uri"), get("warc-payload-digest"), bare(get("warc-refers-to")), *rest))
+                    held += len(block)
+                    if held > 8_000_000:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=columns)
+
+    return rows
 
 
-RECORD_COLUMNS = ["kind", "record_id", "uri", "digest", "refers_to", "origin_id", "segment", "total", "block"]
-RECORDS = "kind string, record_id string, uri string, digest string, refers_to string, origin_id string, segment int, total long, block binary"
+HEAD = ["kind", "record_id", "uri", "digest", "refers_to"]
+_HEAD = ", ".join(f"{c} string" for c in HEAD)
 
 
-def _payloads(batches):
+def _joined(batches):
     for pdf in batches:
-        payloads, errors = [], []
-        for kind, block, total in zip(pdf["kind"], pdf["block"], pdf["total"], strict=True):
-            payload = error = None
-            if block is not None and kind != "revisit":
-                head, _, body = bytes(block).partition(b"\r\n\r\n")
-                try:
-                    if total and total != len(block):
-                        raise ValueError(f"{len(block)} of {total} bytes")
-                    payload = unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                except ValueError as e:
-                    error = str(e)
-            payloads.append(payload)
-            errors.append(error)
-        yield pdf[["kind", "record_id", "uri", "digest", "refers_to"]].assign(payload=payloads, error=errors, found=[None if p is None else hashlib.sha1(p).hexdigest() for p in payloads])
+        found = [_found(k, bytes(b), t) for k, b, t in zip(pdf["kind"], pdf["block"], pdf["total"], strict=True)]
+        yield pdf[HEAD].assign(payload=[x[0] for x in found], error=[x[1] for x in found], found=[x[2] for x in found])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -154,14 +168,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     an error. A file is read whole by one task, as Spark's binaryFile reader does, so
     archives should be cut to some hundred MB.
     """
-    records = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_read, RECORDS)
-    whole = records.where("segment = 0 and kind in ('response', 'revisit')").select("kind", "record_id", "uri", "digest", "refers_to", "total", "block")
-    cut = records.where("segment > 0").withColumn("record_id", F.coalesce("origin_id", "record_id"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    read = f"{_HEAD}, payload binary, error string, found string"
+    whole = files.mapInPandas(_read(False), read)
+    cut = files.mapInPandas(_read(True), f"{_HEAD}, segment int, total long, block binary")
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     cut = cut.groupBy("record_id").agg(first("kind"), first("uri"), first("digest"), first("refers_to"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     block = F.aggregate(F.transform("parts", lambda x: x["block"]), F.lit(b""), lambda a, b: F.concat(a, b))
-    cut = cut.select("kind", "record_id", "uri", "digest", "refers_to", F.when(F.col("total") > 0, F.col("total")).otherwise(F.lit(-1)).alias("total"), block.alias("block"))
-    return whole.unionByName(cut).mapInPandas(_payloads, "kind string, record_id string, uri string, digest string, refers_to string, payload binary, error string, found string")
+    cut = cut.select(*HEAD, F.when(F.col("total") > 0, F.col("total")).otherwise(F.lit(-1)).alias("total"), block.alias("block"))
+    return whole.unionByName(cut.mapInPandas(_joined, read))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -175,6 +190,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(PREFIX) + 1}) as long)")
     read = read_archives(pages.sparkSession, path)
     read = read.select("kind", number("record_id").alias("id"), number("refers_to").alias("refers"), F.length("payload").cast("long").alias("n"), F.coalesce("found", F.substring("digest", 6, 40)).alias("digest"))
+    read = materialize(read)
     full = read.where(F.col("kind") == "response").groupBy(F.col("id").alias("tid"), F.col("digest").alias("tdigest")).agg(F.max("n").alias("full"))
     out = read.join(full, (F.col("refers") == F.col("tid")) & (F.col("digest") == F.col("tdigest")), "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", "full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
