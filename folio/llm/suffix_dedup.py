@@ -251,7 +251,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     marked = materialize(marked)
     open_runs = marked.where("not whole").groupBy("id").agg(F.collect_list(F.struct("off", "n", "a")).alias("runs"))
-    windows = docs.join(open_runs, "id").select("id", "text", "runs").mapInArrow(_window_rows, "id long, off int, a long, b long, seen boolean")
+    # The windows' rows keep the same columns as the results' below, so both joins share one shuffle of the texts.
+    windows = docs.join(open_runs, "id").select("id", "text", "runs", "rest").mapInArrow(_window_rows, "id long, off int, a long, b long, seen boolean")
     again = windows.withColumn("rank", F.rank().over(placed)).where("seen or rank > 1").select("id", "off", F.lit(1).cast("short").alias("n"))
     gone = marked.where("whole").select("id", "off", "n").unionByName(again).groupBy("id").agg(F.collect_list(F.struct("off", "n")).alias("runs"))
     schema = f"id long, rest {docs.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
