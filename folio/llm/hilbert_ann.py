@@ -3,8 +3,10 @@
 Vectors are scaled to length one at most and get one more component that makes the
 largest inner product the least distance. Each of ``CURVES`` curves projects them to
 ``DIMS`` random directions, adds a random shift and orders them along a Hilbert curve;
-Spark cuts each order into ranges of about equal size. A query is compared with the
-ranges next to its own on every curve, and the results merge by exact score.
+Spark cuts each order into ranges of about equal size. Queries of ranges next to each
+other form a block, which is compared with the ranges around it on every curve: the
+points pass by in batches and each query keeps its best, so a task's memory doesn't grow
+with the points it meets. The curves' results merge by exact score.
 
 How many ranges on each side is found out first: the exact neighbours of a bounded set of
 queries show how far they lie from their query on its nearest curve. Equal vectors are one
@@ -23,6 +25,8 @@ from folio.llm.common import materialize
 CURVES, DIMS, ORDER = 8, 6, 8
 #: Vectors in a range, and ranges of a curve at most.
 RANGE_ROWS, RANGES = 256, 4096
+#: Ranges of a curve whose queries are compared together, at most.
+BLOCK_RANGES = 32
 #: Queries with exact results that set how many ranges are searched, the share of neighbours to reach on them, and keys that set the ranges' bounds.
 SAMPLE_QUERIES, TARGET, SAMPLE_KEYS = 64, 0.96, 40_000
 
@@ -86,6 +90,45 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
 
 
+class Best:
+    """The k best points of each of a block's queries; points come in batches and aren't kept."""
+
+    def __init__(self, dim: int, k: int):
+        self.k, self.q, self.qr = k, np.empty((0, dim)), np.empty(0, np.int64)
+        self.least, self.found = np.empty(0), []
+
+    def queries(self, reps: np.ndarray, vectors: np.ndarray):
+        self.q, self.qr = np.vstack([self.q, vectors]), np.append(self.qr, reps)
+        self.least = np.full(len(self.qr), -np.inf)
+
+    def points(self, reps: np.ndarray, vectors: np.ndarray):
+        for at in range(0, len(self.q), 256):
+            q = self.q[at : at + 256]
+            rough = q @ vectors.T
+            slack = 1e-9 * np.abs(rough).max()
+            i, j = np.nonzero(_best(rough + slack, self.k) & (rough + slack >= self.least[at : at + 256, None]))
+            if len(i):
+                self.found.append((i + at, reps[j], np.add.reduce(q[i] * vectors[j], axis=1)))
+        if sum(len(x[0]) for x in self.found) > 4 * self.k * len(self.qr):
+            self._cut()
+
+    def _cut(self):
+        if not self.found:
+            return
+        i, reps, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((reps, -score, i))
+        i, reps, score = i[order], reps[order], score[order]
+        n = np.arange(len(i)) - np.searchsorted(i, i)
+        last = n == self.k - 1
+        self.least[i[last]] = score[last]
+        self.found = [(i[n < self.k], reps[n < self.k], score[n < self.k])]
+
+    def rows(self):
+        self._cut()
+        for i, reps, score in self.found:
+            yield pa.RecordBatch.from_arrays([pa.array(self.qr[i]), pa.array(reps), pa.array(score)], names=["q", "rep", "score"])
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found of each row whose id is divisible by ``every``, itself left out.
 
@@ -146,23 +189,32 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     seekers = queries.select("rep", "class", "vec").mapInArrow(placed(True), schema)
     reach = _reach(classes, queries, points, seekers, k, ranges)
 
-    sides = F.sequence(F.greatest(F.col("at") - reach, F.lit(0)), F.least(F.col("at") + reach, F.lit(ranges - 1)))
-    spread = seekers.select("rep", "vec", "curve", F.explode(sides).alias("at"))
-
-    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            q, p = _matrix(left["vec"]), _matrix(right["vec"])
-            qr, pr = left["rep"].to_numpy(), right["rep"].to_numpy()
-            for i in range(0, len(q), 256):
-                rough = q[i : i + 256] @ p.T
-                a, b = np.nonzero(_best(rough + 1e-9 * np.abs(rough).max(), k + 1))
-                score = np.add.reduce(q[i + a] * p[b], axis=1)
-                found.append((qr[i + a], pr[b], score))
-        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table([pa.array(c) for c in cols], names=["q", "rep", "score"])
-
-    near = spread.groupBy("curve", "at").cogroup(points.groupBy("curve", "at")).applyInArrow(compared, "q long, rep long, score double")
+    # Queries of ``width`` ranges form a block; a point goes to each block that has a query within reach of it.
+    width = min(BLOCK_RANGES, max(1, reach))
+    block = lambda x: F.floor(x / width).cast("int")
+    sides = F.sequence(block(F.greatest(F.col("at") - reach, F.lit(0))), block(F.least(F.col("at") + reach, F.lit(ranges - 1))))
+    rows = seekers.select("curve", block(F.col("at")).alias("block"), F.lit(False).alias("point"), "rep", "vec")
+    rows = rows.unionByName(points.select("curve", F.explode(sides).alias("block"), F.lit(True).alias("point"), "rep", "vec"))
+    rows = rows.repartition("curve", "block").sortWithinPartitions("curve", "block", "point")  # a block's queries before its points
+
+    def compared(batches):
+        own, best = None, None
+        for b in batches:
+            place = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("curve", "block", "point")])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if own != (key := tuple(place[:2, lo])):
+                    if best is not None:
+                        yield from best.rows()
+                    own, best = key, Best(dim, k + 1)
+                part = b.slice(lo, hi - lo)
+                (best.points if place[2, lo] else best.queries)(part.column("rep").to_numpy(), _matrix(part.column("vec")))
+        if best is not None:
+            yield from best.rows()
+
+    near = rows.mapInArrow(compared, "q long, rep long, score double")
     near = near.distinct().withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= k + 1).select("q", "rep", "score")
     # A class among the k + 1 best gives its least ids; each query then leaves itself out.
     found = near.join(classes.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("vec_id"))
