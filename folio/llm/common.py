@@ -47,6 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts. A batch stands in memory several times over, in the executor and in its Python worker.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session cut Arrow batches at ``BATCH_ROWS`` rows, unless it was told another number than Spark's own."""
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if ``df`` has at most ``rows`` rows; else the planner picks a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -169,7 +169,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return rows
 
     keys = classes.select("rep", "class", "vec").mapInArrow(keyed(False), "rep long, curve int, key long")
-    sample = keys.where(F.pmod(F.xxhash64("rep", "curve"), F.lit(max(1, n * CURVES // SAMPLE_KEYS))) == 0).toPandas()
+    sample = keys.where(F.pmod(F.xxhash64("rep", "curve"), F.lit(max(1, n * CURVES // SAMPLE_KEYS))) == 0).toArrow().to_pandas()
     bounds = [np.quantile(own, np.arange(1, ranges) / ranges, method="nearest") if len(own := np.sort(sample["key"][sample["curve"] == c].to_numpy())) else np.empty(0, np.int64) for c in range(CURVES)]
 
     def placed(query: bool):
@@ -227,7 +227,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 def _reach(classes: DataFrame, queries: DataFrame, points: DataFrame, seekers: DataFrame, k: int, ranges: int) -> int:
     """Ranges to search on each side so that ``TARGET`` of some queries' exact neighbours are met."""
-    some = queries.orderBy(F.xxhash64("rep", F.lit(1))).limit(SAMPLE_QUERIES).select("rep", "vec").toPandas()
+    some = queries.orderBy(F.xxhash64("rep", F.lit(1))).limit(SAMPLE_QUERIES).select("rep", "vec").toArrow().to_pandas()
     if not len(some):
         return 0
     q, qr = np.array(some["vec"].tolist()), some["rep"].to_numpy()
@@ -244,5 +244,5 @@ def _reach(classes: DataFrame, queries: DataFrame, points: DataFrame, seekers: D
     exact = F.broadcast(exact)  # SAMPLE_QUERIES times k rows
     own = F.broadcast(seekers.where(F.col("rep").isin(qr.tolist())).select(F.col("rep").alias("q"), "curve", F.col("at").alias("q_at")))
     there = points.select("rep", "curve", "at").join(exact, "rep").join(own, ["q", "curve"]).groupBy("q", "rep").agg(F.min(F.abs(F.col("at") - F.col("q_at"))).alias("d"))
-    away = np.sort(there.toPandas()["d"].to_numpy())
+    away = np.sort(there.toArrow().to_pandas()["d"].to_numpy())
     return int(min(ranges - 1, away[min(len(away) - 1, int(np.ceil(TARGET * len(away))))])) if len(away) else 0

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import small_batches
+
 LONGEST, PENALTY = 5, 8.0
 #: Texts of each language that are learned from (on average; chosen by a hash of the id), the bound of the fit.
 TRAIN_TEXTS = 400
@@ -67,7 +69,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     per_lang = known.groupBy("lang").count().withColumn("share", F.lit(float(texts)) / F.col("count")).select("lang", "share")
     draw = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = known.join(F.broadcast(per_lang), "lang").where(draw < F.col("share")).select("lang", "text")  # a row for each language
-    counts = rows.mapInPandas(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where("c > 1 or (n > 0 and n < 3)").toPandas()
+    counts = rows.mapInPandas(_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")).where("c > 1 or (n > 0 and n < 3)").toArrow().to_pandas()
     return _model(counts)
 
 
@@ -154,6 +156,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     keep = keep or []
     kept_text = text_col in keep
     rest = [c for c in keep if c != text_col]
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"), *rest)
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"), *rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text" or kept_text) + ", lang_pred string, score double"
     return rows.mapInPandas(scored, schema).withColumnsRenamed({"_text": text_col} if kept_text else {})

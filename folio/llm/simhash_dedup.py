@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize
+from folio.llm.common import materialize, small_batches
 
 SHINGLE, SEED, BUCKET = 3, 42, 32
 BLOCKS = 32
@@ -59,7 +59,7 @@ def _fingerprints(batches):
 
 def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each text as a signed long; null and empty texts have 0."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long")
 
 
 def _signed(x: int) -> int:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize
+from folio.llm.common import materialize, small_batches
 
 ANCHOR = 48
 LENGTH = 100
@@ -239,7 +239,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     back too; others are ignored.
     """
     extra = F.struct(*keep) if keep else F.lit(True)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), extra.alias("rest")).where("id is not null")
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), extra.alias("rest")).where("id is not null")
     runs = docs.select("id", "text").mapInArrow(_run_rows, "id long, off int, n short, a long, b long, seen boolean")
     placed = Window.partitionBy("a", "b").orderBy("id", "off")
     marked = (
