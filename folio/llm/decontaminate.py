@@ -6,6 +6,10 @@ as a fingerprint, so a text and an item that share a window share a fingerprint.
 that share none are settled by that join; in the rest, the hits are extended: each of
 their positions is compared with the windows themselves, by two hashes of 64 bits that
 take every word of the window.
+
+Arrays are unnested by the outer functions, followed by a filter: from the others Spark
+infers a filter on the array's size, moves it below the steps that widen the array and
+there writes out every step as often as the next one refers to it.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ def _item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     for n in lengths:
         own = items.where(F.size("w") >= WINDOW) if n == WINDOW else items.where(F.size("w") == n)
         own = with_grams(with_grams(own, "a", n), "b", n, 1)
-        parts.append(own.select("class", F.lit(n).alias("n"), F.inline(F.arrays_zip("a", "b"))).distinct())
+        parts.append(own.select("class", F.lit(n).alias("n"), F.inline_outer(F.arrays_zip("a", "b"))).where("a is not null").distinct())
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -87,7 +91,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marked, prints = texts, []
     for n in lengths:
         own = with_fingerprints(items.where(F.size("w") >= WINDOW) if n == WINDOW else items.where(F.size("w") == n), "f", n)
-        prints.append(own.select(F.explode("f").alias("f")).distinct())
+        prints.append(own.select(F.explode_outer("f").alias("f")).where("f is not null").distinct())
         marked = with_fingerprints(marked, f"f{n}", n)
     prints = reduce(DataFrame.union, prints).distinct().withColumn("hit", F.lit(True))
     marked = marked.select("id", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*(f"f{n}" for n in lengths))).alias("f"))
@@ -99,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at = []
     for n in lengths:
         own = with_grams(with_grams(near, "a", n), "b", n, 1)
-        at.append(own.select("id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x")).select("id", "pos", "x.a", "x.b", F.lit(n).alias("n")))
+        at.append(own.select("id", F.posexplode_outer(F.arrays_zip("a", "b")).alias("pos", "x")).where("pos is not null").select("id", "pos", "x.a", "x.b", F.lit(n).alias("n")))
     known = broadcast_if_small(windows.select("a", "b", "n").distinct())
     hits = materialize(reduce(DataFrame.unionByName, at).join(known, ["a", "b", "n"], "left_semi").distinct())
 
