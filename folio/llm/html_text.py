@@ -1,8 +1,10 @@
 """Main text of web pages: site templates removed by counting element subtrees per host.
 
-Every element but article and main is hashed with its tags and text. Spark counts on how many pages of a host each hash occurs; subtrees on
-at least ``SHARE`` of a host's pages, and on ``LEAST_PAGES`` at least, are the site's
-template and go from each page. What HTML itself names as beside the text goes too: nav,
+Every element but article and main is hashed with its tags and text. Spark counts beside
+how many different contents (articles, or whole pages without one) of a host each hash
+occurs, so copies of a page count once; subtrees with at least ``SHARE`` of a host's
+contents, and ``LEAST_PAGES`` at least, or with ``MANY_PAGES`` whatever their share, are
+the site's template and go from each page. What HTML itself names as beside the text goes too: nav,
 header, footer, aside, forms, scripts, styles, and elements whose class, id or role has a
 word like ad, cookie, sidebar or comments. If the page has an article (or main) element,
 its content is the text.
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import materialize
 
-SHARE, LEAST_PAGES = 0.5, 5
+SHARE, LEAST_PAGES, MANY_PAGES = 0.5, 5, 100
 #: Hosts' templates are broadcast up to so many subtrees in all, and joined by host beyond.
 TEMPLATE_ROWS = 200_000
 
@@ -127,6 +129,16 @@ class Page:
                     parts[self.parent[n]].append(str(out[n]))
         return out
 
+    def content(self, hashes: list[int]) -> int:
+        """A hash of the page's outermost articles, or of the whole page if it has none with text."""
+        inside, found = [False] * len(self.tag), []
+        for n in range(1, len(self.tag)):
+            up = self.parent[n]
+            inside[n] = inside[up] or self.tag[up] in ("article", "main")
+            if self.tag[n] in ("article", "main") and not inside[n] and hashes[n]:
+                found.append(hashes[n])
+        return xxhash.xxh64_intdigest(",".join(map(str, found)), 0) - (1 << 63) if found else hashes[0]
+
     def text(self, template) -> str:
         """Blocks of the page's article, or of the whole page, without what is beside the text and the template's subtrees."""
         inside = [t in ("article", "main") for t in self.tag]
@@ -155,21 +167,23 @@ CONTAINERS = frozenset(("ul", "ol", "dl", "table", "select"))
 
 
 def _counted(batches):
-    """(host, hash, pages) over each batch; hash 0 stands for the page itself."""
+    """(host, hash, content) once over each batch; hash 0 stands for the page itself."""
     for pdf in batches:
-        counts: dict[tuple[str, int], int] = {}
+        rows = set()
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
-            for h in {0, *Page(source or "").hashes()}:
-                counts[host, h] = counts.get((host, h), 0) + 1
-        yield pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["host", "hash", "pages"])
+            page = Page(source or "")
+            hashes = page.hashes()
+            content = page.content(hashes)
+            rows.update((host, h, content) for h in {0, *hashes})
+        yield pd.DataFrame(list(rows), columns=["host", "hash", "content"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, hash) of the subtrees that recur over a host's pages, from columns host and html."""
-    counts = pages.where("host <> ''").mapInPandas(_counted, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    counts = materialize(counts.where(F.col("pages") >= LEAST_PAGES))
+    """(host, hash) of the subtrees that recur over a host's contents, from columns host and html."""
+    rows = pages.where("host <> ''").mapInPandas(_counted, "host string, hash long, content long").distinct()
+    counts = materialize(rows.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES))
     total = counts.where("hash = 0").select("host", F.col("pages").alias("total"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("pages") >= F.col("total") * SHARE).select("host", "hash")
+    return counts.where("hash <> 0").join(total, "host").where((F.col("pages") >= F.col("total") * SHARE) | (F.col("pages") >= MANY_PAGES)).select("host", "hash")
 
 
 def _extracted(batches):
@@ -187,7 +201,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
     found = materialize(templates(pages.select("host", "html")))
-    by_host = found.groupBy("host").agg(F.collect_set("hash").alias("template"))  # at most 1 / SHARE times a page's subtrees
+    by_host = found.groupBy("host").agg(F.collect_set("hash").alias("template"))
     if found.limit(TEMPLATE_ROWS + 1).count() <= TEMPLATE_ROWS:
         by_host = F.broadcast(by_host)
     texts = pages.join(by_host, "host", "left").select("id", "url", "html", "template").mapInPandas(_extracted, "id long, url string, text string")

@@ -37,3 +37,14 @@ def test_pages_of_the_table(spark):
         article = source[r.page_id].split("<article>")[1].split("</article>")[0]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", article))
         assert r.text == "\n".join(b for b in blocks if b), r.page_id
+
+
+def test_copied_articles_stay_and_notices_of_large_hosts_go(spark):
+    copy = "<body><div>Site links</div><article><h1>One head</h1><p>The copied text</p></article></body>"
+    rows = [(i, f"http://copies.org/{i}", copy, "One head\nThe copied text") for i in range(8)]
+    rows += [(10 + i, f"http://copies.org/v{i}", f"<article><h1>Head {i}</h1><p>Text {i}</p></article>", f"Head {i}\nText {i}") for i in range(4)]
+    for i in range(300):  # a notice on 45 pages of 100
+        notice = "<p>Subscribe to our letter</p>" if i % 100 < 45 else ""
+        rows.append((100 + i, f"http://large.org/{i}", f"<article><p>Own {i}</p>{notice}</article>", f"Own {i}"))
+    got = main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {r[0]: r[3] for r in rows}
