@@ -40,8 +40,8 @@ class Vocabulary:
     def __init__(self, lines: list[str]):
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.score = {p: -float(np.log(r + 2)) for p, r in ranks.items()}
-        self.longest = min(TRIE_BYTES, max(map(len, self.score)))
-        pieces = [p for p in self.score if len(p) <= self.longest]
+        self.longest = max(map(len, self.score))
+        pieces = [p for p in self.score if len(p) <= TRIE_BYTES]
         keys = np.array([_hash(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array([self.score[p] for p in pieces])[order]
@@ -92,7 +92,7 @@ class Vocabulary:
             node, head = np.cumsum(new) - 1, at[new]
             h = hashes[depth - 1][head] * _BASE + chars[head, depth - 1] + np.uint64(1)
             best, least = np.full(len(head), -np.inf), np.zeros(len(head), np.int64)
-            for length in range(min(depth, self.longest), 0, -1):
+            for length in range(min(depth, self.longest), 0, -1):  # depth is TRIE_BYTES at most
                 s = self.scores(h - hashes[depth - length][head] * powers[length])
                 hit = np.flatnonzero(s > -np.inf)
                 s, c = s[hit] + score[depth - length][head[hit]], count[depth - length][head[hit]] + 1

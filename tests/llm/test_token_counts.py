@@ -24,3 +24,18 @@ def test_documents(spark):
         want.append((i if i != 5 else None, len(cut), sum(VOCAB.plain(c.encode()) for c in cut)))
     assert got == sorted(want, key=str)
     assert token_counts(df.limit(0)).collect() == []
+
+
+def test_longest_pieces(spark):
+    def uncapped(token):
+        best = [(0.0, 0)]
+        for end in range(1, len(token) + 1):
+            s, n = max(((best[at][0] + VOCAB.score[token[at:end]], -best[at][1] - 1) for at in range(end) if token[at:end] in VOCAB.score), default=(float("-inf"), 0))
+            best.append((s, -n))
+        return best[-1][1]
+
+    rules = [(" " * space + sign * n).encode() for sign in "-=._" for n in (47, 48, 49, 56, 63, 64, 65, 128, 200) for space in (0, 1)]
+    rules += [p for p in VOCAB.score if len(p) > 48]
+    assert [VOCAB.plain(t) for t in rules] == [uncapped(t) for t in rules]
+    df = spark.createDataFrame([(1, "-" * 64), (2, "a\n" + "-" * 128)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {1: 1, 2: 2 + uncapped(b"-" * 128)}
