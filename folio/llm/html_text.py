@@ -1,13 +1,15 @@
 """Main text of web pages: site templates removed by counting element subtrees per host.
 
 Every element but article and main is hashed with its tags and text. Spark counts beside
-how many different contents (articles, or whole pages without one) of a host each hash
-occurs, so copies of a page count once; subtrees with at least ``SHARE`` of a host's
+how many different contents of a host each hash occurs: what tells contents apart is the longest block of
+the page's article (or of the whole page without one) outside the element, so that copies of a
+page, and copies with some block changed, count once; subtrees with at least ``SHARE`` of a host's
 contents, and ``LEAST_PAGES`` at least, or with ``MANY_PAGES`` whatever their share, are
 the site's template and go from each page. What HTML itself names as beside the text goes too: nav,
 header, footer, aside, forms, scripts, styles, and elements whose class, id or role has a
 word like ad, cookie, sidebar or comments. If the page has an article (or main) element,
-its content is the text.
+its content is the text; words that may also mark a part of the text, like related or
+notice, don't count on a paragraph or heading of it, and neither they nor the template empty it.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "legend", "li", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "figcaption"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BESIDE = frozenset("nav header footer aside form script style noscript template iframe svg canvas object button select input textarea dialog menu head title audio video".split())
+BESIDE = frozenset("nav header footer aside form script style template iframe svg button select input textarea dialog menu head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BESIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr footer header masthead menu nav navbar navigation newsletter notice notices popup modal promo promoted promotion related recommended share sharing social sidebar side sponsor sponsored subscribe subscription toolbar widget reply replies respond".split())
-#: A comment or declaration, or a tag with its name and attributes.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-RAW_TEXT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript")}
+BESIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising comment comments cookie cookies consent disqus gdpr nav navbar navigation newsletter promo sidebar sponsor sponsored subscribe subscription".split())
+MAYBE_BESIDE = frozenset("banner breadcrumb breadcrumbs footer header masthead menu notice notices popup modal promoted promotion related recommended share sharing social side toolbar widget reply replies respond".split())
+#: Elements that hold a text's own words.
+OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b i em strong a span code q cite".split())
+#: A comment or declaration, or a tag with its name and attributes; a quote matters only right after an equals sign.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?|[^>=])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s]*)))?")
+RAW_TEXT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 NOTHING: frozenset = frozenset()
 
 
@@ -49,7 +54,7 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.tag, self.beside, self.parent = ["html"], [False], [-1]
+        self.tag, self.beside, self.maybe, self.parent = ["html"], [False], [False], [-1]
         self.events: list[tuple[int, str | None]] = []  # element and its text, or None at a block's edge
         self.open = [0]
         at = 0
@@ -90,7 +95,9 @@ class Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        self.beside.append(tag in BESIDE or self._named_beside(attributes))
+        beside, maybe = self._named_beside(attributes) if attributes else (False, False)
+        self.beside.append(beside or tag in BESIDE)
+        self.maybe.append(maybe)
         if tag in BLOCKS:
             self.events.append((node, None))
         if tag not in VOID:
@@ -98,12 +105,15 @@ class Page:
         elif tag in ("br", "hr"):
             self.events.append((node, " "))
 
-    def _named_beside(self, attributes: str) -> bool:
+    def _named_beside(self, attributes: str) -> tuple[bool, bool]:
+        """Whether class, id and role say so, and whether they may."""
+        beside = maybe = False
         for m in ATTRIBUTE.finditer(attributes):
-            words = re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())
-            if not (ROLES if m[1].lower() == "role" else BESIDE_WORDS).isdisjoint(words):
-                return True
-        return False
+            if (name := m[1].lower()) in ("class", "id", "role"):
+                words = re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())
+                beside |= not (ROLES if name == "role" else BESIDE_WORDS).isdisjoint(words)
+                maybe |= name != "role" and not MAYBE_BESIDE.isdisjoint(words)
+        return beside, maybe
 
     def _end(self, tags, stop):
         for k in range(len(self.open) - 1, 0, -1):
@@ -129,36 +139,59 @@ class Page:
                     parts[self.parent[n]].append(str(out[n]))
         return out
 
-    def content(self, hashes: list[int]) -> int:
-        """A hash of the page's outermost articles, or of the whole page if it has none with text."""
-        inside, found = [False] * len(self.tag), []
-        for n in range(1, len(self.tag)):
-            up = self.parent[n]
-            inside[n] = inside[up] or self.tag[up] in ("article", "main")
-            if self.tag[n] in ("article", "main") and not inside[n] and hashes[n]:
-                found.append(hashes[n])
-        return xxhash.xxh64_intdigest(",".join(map(str, found)), 0) - (1 << 63) if found else hashes[0]
+    def inside(self) -> list[bool]:
+        """Whether each element is an article or main, or in one."""
+        out = [t in ("article", "main") for t in self.tag]
+        for n in range(1, len(out)):
+            out[n] |= out[self.parent[n]]
+        return out
+
+    def contents(self, hashes: list[int]) -> tuple[int, list[int]]:
+        """The longest block of the page's articles, or of the whole page if none has text; and for each element the longest one outside it."""
+        inside = self.inside()
+        words: list[tuple[int, int]] = [(0, 0)] * len(self.tag)  # of each element's own text
+        for node, text in self.events:
+            if text is not None and (n := len(text.split())):
+                words[node] = (words[node][0] + n, hashes[node])
+        if any(i and w[0] for i, w in zip(inside, words, strict=True)):
+            words = [w if i else (0, 0) for i, w in zip(inside, words, strict=True)]
+        size = len(self.tag)
+        last = list(range(size))  # an element's subtree are the elements up to its last one
+        before, after = [(0, 0)] * (size + 1), [(0, 0)] * (size + 1)
+        for n in range(size - 1, 0, -1):
+            last[self.parent[n]] = max(last[self.parent[n]], last[n])
+        for n in range(size):
+            before[n + 1] = max(before[n], words[n])
+        for n in range(size - 1, -1, -1):
+            after[n] = max(after[n + 1], words[n])
+        return after[0][1], [max(before[n], after[last[n] + 1])[1] for n in range(size)]
 
     def text(self, template) -> str:
         """Blocks of the page's article, or of the whole page, without what is beside the text and the template's subtrees."""
-        inside = [t in ("article", "main") for t in self.tag]
-        gone = [False] * len(self.tag)
+        inside = self.inside()
         hashes = self.hashes() if template else ()
-        for n in range(1, len(self.tag)):
-            inside[n] |= inside[self.parent[n]]
-            own = self.beside[n] and not (self.tag[n] == "header" and inside[n])
-            gone[n] = gone[self.parent[n]] or own or bool(template) and self.tag[n] not in KEPT and hashes[n] in template
-        article = any(i and not g for i, g in zip(inside, gone, strict=True))
-        blocks: list[list[str]] = [[]]
-        for node, text in self.events:
-            if gone[node] or article and not inside[node]:
-                continue
-            if text is None:
-                if blocks[-1]:
-                    blocks.append([])
-            else:
-                blocks[-1].append(text)
-        return "\n".join(x for b in blocks if (x := " ".join("".join(b).split())))
+
+        def blocks(maybe: bool, template) -> str:
+            gone = [False] * len(self.tag)
+            for n in range(1, len(self.tag)):
+                own = self.beside[n] and not (self.tag[n] == "header" and inside[n])
+                own |= maybe and self.maybe[n] and not (inside[n] and self.tag[n] in OF_TEXT) and not (self.tag[n] == "header" and inside[n])
+                gone[n] = gone[self.parent[n]] or own or bool(template) and self.tag[n] not in KEPT and hashes[n] in template
+            article = any(inside[n] and not gone[n] for n, t in self.events if t is not None and not t.isspace())
+            if any(inside) and not article and (maybe or template):
+                return ""
+            out: list[list[str]] = [[]]
+            for node, text in self.events:
+                if gone[node] or article and not inside[node]:
+                    continue
+                if text is None:
+                    if out[-1]:
+                        out.append([])
+                else:
+                    out[-1].append(text)
+            return "\n".join(x for b in out if (x := " ".join("".join(b).split())))
+
+        return blocks(True, template) or (blocks(True, None) or blocks(False, None) if any(inside) else "")
 
 
 #: Elements that hold a page's text as a whole are never template; ends of these don't reach past a list or table.
@@ -173,8 +206,9 @@ def _counted(batches):
         for host, source in zip(pdf["host"], pdf["html"], strict=True):
             page = Page(source or "")
             hashes = page.hashes()
-            content = page.content(hashes)
-            rows.update((host, h, content) for h in {0, *hashes})
+            own, outside = page.contents(hashes)
+            rows.update((host, h, c) for h, c in zip(hashes, outside, strict=True))
+            rows.add((host, 0, own))
         yield pd.DataFrame(list(rows), columns=["host", "hash", "content"])
 
 
@@ -196,7 +230,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text and n_chars of each row.
 
     Null and empty pages have an empty text; pages without a host in their url have no
-    template. Ids may be null or repeat; other columns are ignored.
+    template. Pages of any length are read whole. A subtree on exactly half of a host's contents, or on exactly
+    ``LEAST_PAGES`` or ``MANY_PAGES``, is template. Ids may be null; rows that repeat an id or a page come back as
+    often and count once as content. Other columns, whatever their names, are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))

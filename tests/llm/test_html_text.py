@@ -48,3 +48,27 @@ def test_copied_articles_stay_and_notices_of_large_hosts_go(spark):
         rows.append((100 + i, f"http://large.org/{i}", f"<article><p>Own {i}</p>{notice}</article>", f"Own {i}"))
     got = main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {r[0]: r[3] for r in rows}
+
+
+def test_one_article_on_different_pages_stays(spark):
+    rows = [(i, f"http://six.org/{i}", f"<body><div>Links {i}</div><article><h1>One head</h1><p>The same text</p></article><p>Tail {i}</p></body>") for i in range(6)]
+    for i in range(7):  # edited copies: one paragraph differs
+        rows.append((10 + i, f"http://edited.org/{i}", f"<article><h1>Head of all</h1><p>A long paragraph that all the copies have in common</p><p>Edited {i}</p></article>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One head\nThe same text" for i in range(6))
+    assert all(got[10 + i] == f"Head of all\nA long paragraph that all the copies have in common\nEdited {i}" for i in range(7))
+
+
+def test_quotes_matter_after_an_equals_sign_only():
+    assert Page("<p data-x=it's>Hello</p>").text(frozenset()) == "Hello"
+    assert Page('<p title="a > b" x=\'c>d\' "odd>One</p><p class=a"b>Two</p>').text(frozenset()) == "One\nTwo"
+    assert Page('<p data-class="ad" title="class=ad">Kept</p><p class="ad">Gone</p><p CLASS=ad>Gone</p>').text(frozenset()) == "Kept"
+    assert Page('<a href="open>lost').text(frozenset()) == ""
+
+
+def test_nothing_of_the_article_is_lost_by_a_word():
+    assert Page('<article><p class="related">One</p><p class="share">Two</p></article>').text(frozenset()) == "One\nTwo"
+    assert Page('<article><div class="related"><p>All of it</p></div></article>').text(frozenset()) == "All of it"
+    assert Page('<article><p>Text</p><div class="related"><p>More to read</p></div></article>').text(frozenset()) == "Text"
+    assert Page("<article><p>Text</p><noscript><p>plain</p></noscript><object><p>inner</p></object><canvas>drawn</canvas></article>").text(frozenset()) == "Text\nplain\ninner\ndrawn"
+    assert Page('<article><header class="header"><h1>Head</h1></header><p>Text</p></article>').text(frozenset()) == "Head\nText"
