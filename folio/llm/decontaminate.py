@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import ascii_lower, broadcast_if_small, materialize
 
 WINDOW, GRAM = 10, 8
+#: A text's two hashes, which stand for it.
+KEY = ["k1", "k2"]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -76,44 +78,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit if it lies in any occurrence of a window. Null and empty texts have no
     words and no hits; items without words or id match nothing; an empty benchmark leaves
     every document clean. Items with equal words are joined as one class, whose ids are
-    then listed. Documents without an id take no part and aren't returned; rows that
-    repeat an id share their hits and come back once for each n_words. Other columns are ignored.
+    then listed; an id that several items have is listed once. Every row is a document of its
+    own, whatever its id: ids may be null or repeat, and copies of a text get the same hits.
+    Texts of any length are read whole. Other columns, whatever their names, are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
     items = items.groupBy("w").agg(F.collect_set("item").alias("ids")).withColumn("class", F.xxhash64("w"))
     items = materialize(items)
     lengths = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect())  # ten values at most
-    texts = docs.withColumn("w", words(F.col("text"))).select("id", "w")
+    rows = docs.select("id", *KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if not lengths:
-        return texts.select(F.col("id").alias(id_col), F.size("w").cast("long").alias("n_words"), *_outcome(None))
+        return rows.select(F.col("id").alias(id_col), "n_words", *_outcome(None))
 
-    marked, prints = texts, []
+    marked, prints = docs.select(*KEY, words(F.col("text")).alias("w")), []
     for n in lengths:
         own = with_fingerprints(items.where(F.size("w") >= WINDOW) if n == WINDOW else items.where(F.size("w") == n), "f", n)
         prints.append(own.select(F.explode_outer("f").alias("f")).where("f is not null").distinct())
         marked = with_fingerprints(marked, f"f{n}", n)
-    prints = reduce(DataFrame.union, prints).distinct().withColumn("hit", F.lit(True))
-    marked = marked.select("id", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(*(f"f{n}" for n in lengths))).alias("f"))
-    marked = marked.join(broadcast_if_small(prints), "f", "left").groupBy("id", "n_words").agg(F.count("hit").alias("prints"))
-    marked = materialize(marked)
+    prints = reduce(DataFrame.union, prints).distinct()
+    marked = marked.select(*KEY, F.explode_outer(F.concat(*(f"f{n}" for n in lengths))).alias("f"))
+    marked = materialize(marked.join(broadcast_if_small(prints), "f", "left_semi").select(*KEY).distinct())
 
-    near = docs.join(broadcast_if_small(marked.where("prints > 0").select("id").distinct()), "id", "left_semi").withColumn("w", words(F.col("text"))).select("id", "w")
+    near = docs.join(broadcast_if_small(marked), KEY, "left_semi").select(*KEY, words(F.col("text")).alias("w"))
     windows = materialize(_item_windows(items, lengths))
     at = []
     for n in lengths:
         own = with_grams(with_grams(near, "a", n), "b", n, 1)
-        at.append(own.select("id", F.posexplode_outer(F.arrays_zip("a", "b")).alias("pos", "x")).where("pos is not null").select("id", "pos", "x.a", "x.b", F.lit(n).alias("n")))
+        at.append(own.select(*KEY, F.posexplode_outer(F.arrays_zip("a", "b")).alias("pos", "x")).where("pos is not null").select(*KEY, "pos", "x.a", "x.b", F.lit(n).alias("n")))
     known = broadcast_if_small(windows.select("a", "b", "n").distinct())
     hits = materialize(reduce(DataFrame.unionByName, at).join(known, ["a", "b", "n"], "left_semi").distinct())
 
-    before = Window.partitionBy("id").orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*KEY).orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("n")
-    covered = hits.select("id", "pos", "n").distinct().withColumn("from", F.greatest(F.col("pos"), F.coalesce(F.max(end).over(before), F.lit(0))))
-    covered = covered.groupBy("id").agg(F.sum(F.greatest(end - F.col("from"), F.lit(0))).alias("n_hit"))
-    classes = hits.select("id", "a", "b", "n").distinct().join(broadcast_if_small(windows), ["a", "b", "n"]).select("id", "class").distinct()
-    found = classes.join(broadcast_if_small(items.select("class", "ids")), "class").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
-    return marked.join(covered, "id", "left").join(found, "id", "left").select(F.col("id").alias(id_col), "n_words", *_outcome("ids"))
+    covered = hits.select(*KEY, "pos", "n").distinct().withColumn("from", F.greatest(F.col("pos"), F.coalesce(F.max(end).over(before), F.lit(0))))
+    covered = covered.groupBy(*KEY).agg(F.sum(F.greatest(end - F.col("from"), F.lit(0))).alias("n_hit"))
+    classes = hits.select(*KEY, "a", "b", "n").distinct().join(broadcast_if_small(windows), ["a", "b", "n"]).select(*KEY, "class").distinct()
+    ids = classes.join(items.select("class", F.explode("ids").alias("item")), "class").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("ids"))
+    found = materialize(covered.join(ids, KEY))
+    return rows.join(broadcast_if_small(found), KEY, "left").select(F.col("id").alias(id_col), "n_words", *_outcome("ids"))
 
 
 def _outcome(ids: str | None) -> list[Column]:

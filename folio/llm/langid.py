@@ -28,6 +28,14 @@ CACHE, CERTAIN_WORDS = 300_000, 50
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case; numerals like ½ or Ⅷ aren't letters."""
+    found = WORD.findall((text or "").lower())
+    if found and not "".join(found).isalpha():
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -42,7 +50,7 @@ def _counted(batches):
     for pdf in batches:
         counts: dict[tuple[str, int, str], int] = {}
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-            for word in WORD.findall((text or "").lower()):
+            for word in words_of(text):
                 key = (lang, 0, word)
                 counts[key] = counts.get(key, 0) + 1
         for (lang, _, word), c in list(counts.items()):
@@ -123,7 +131,7 @@ class Scorer:
         return rows
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.m.langs:
             return "und", 0.0
         total = np.zeros(len(self.m.langs))
@@ -142,7 +150,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id, held_out, lang_pred and score of each row, and the columns ``keep``.
 
     Null and empty texts and texts without a letter are ``und`` with score 0; equal scores
-    go to the language that sorts first. Ids may be null (held_out is then null) or repeat.
+    go to the language that sorts first. Texts of any length are scored whole. Ids may be null
+    (held_out is then null); rows that repeat an id or a text come back as often. Columns that
+    aren't named are ignored; an empty table gives no rows, and a model of no texts says ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

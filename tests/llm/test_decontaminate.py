@@ -60,3 +60,12 @@ def test_empty_tables_and_repeats(spark):
     one = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert contamination(d.limit(0), one).collect() == []
     assert [r.n_hit for r in contamination(d.where("doc_id = 1").union(d.where("doc_id = 1")), one).collect()] in ([2], [2, 2])
+
+
+def test_ids_that_repeat(spark):
+    one = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    items = spark.createDataFrame([(7, "a b"), (7, "c d"), (8, "c d"), (9, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b z z e"), (1, "a b z z e"), (None, "x y"), (None, None), (2, "q r s t u")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in contamination(docs, items).collect()), key=str)
+    want = [(1, 5, 4, 2, one("7", "8")), (1, 5, 2, 1, one("7")), (1, 5, 2, 1, one("7")), (None, 2, 1, 1, one("9")), (None, 0, 0, 0, one("")), (2, 5, 0, 0, one(""))]
+    assert got == sorted(want, key=str)
