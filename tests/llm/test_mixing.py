@@ -1,5 +1,8 @@
+import hashlib
+import math
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -45,6 +48,7 @@ def test_slices_agree_with_one(spark, monkeypatch):
     import folio.llm.mixing as m
 
     docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "concat('s', id % 5) as source")
+    monkeypatch.setattr(m, "LEAST_SLICES", 1)
     one = sorted(map(tuple, mix(docs).collect()))
     monkeypatch.setattr(m, "SLICE_ROWS", 100)
     assert sorted(map(tuple, mix(docs).collect())) == one
@@ -56,3 +60,55 @@ def test_edges(spark):
     rows = mix(spark.createDataFrame([(1, None, "a"), (2, "", None), (None, "x", "b"), (3, "p q", "b"), (3, "p q", "b")], schema)).collect()
     assert len(rows) == 5 and sum(r.taken for r in rows if r["size"] == 0) == 0
     assert targets(spark.createDataFrame([("a", 0)], "source string, size long")).first().target == 0
+
+
+def plain(docs, want, seed=7):
+    """taken of each (id, size, source), by ranking each source as a whole."""
+    by = defaultdict(list)
+    for d in docs:
+        by[d[2]].append(d)
+    out = {}
+    for source, own in by.items():
+        total = sum(d[1] for d in own)
+        rate = want[source] / total
+        whole, f = int(rate), rate - int(rate)
+        step = lambda n: math.floor(math.log2(n + 1) * 8)
+        ranked = []
+        for i, size, _ in own:
+            u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            middle = (sum(d[1] for d in own if step(d[1]) < step(size)) + sum(d[1] for d in own if step(d[1]) == step(size)) / 2) / total
+            p = f + f * (1 - f) * (2 * middle - 1)
+            q = (u / (1 - u)) / (p / (1 - p)) if p > 0 else math.inf
+            ranked.append((q, i, size, p))
+        ranked.sort()
+        missing, got, extra, k = want[source] - whole * total, 0, set(), 0
+        while k < len(ranked) and got + ranked[k][2] <= missing and ranked[k][3] > 0:
+            got += ranked[k][2]
+            extra.add(ranked[k][1])
+            k += 1
+        gap = missing - got
+        rest = [(abs(x[2] - gap), x[0], x[1]) for x in ranked[k:] if x[3] > 0 and abs(x[2] - gap) < gap]
+        extra |= {min(rest)[2]} if rest else set()
+        out |= {i: (whole + (i in extra)) * size for i, size, _ in own}
+    return out
+
+
+def test_matches_a_plain_ranking(spark):
+    r = random.Random(3)
+    docs = [(i, r.choice([1, 2, 5, 30, 31, 300]) + r.randrange(4), r.choice("aaaabbc")) for i in range(700)]
+    rows = mix(spark.createDataFrame([(i, "w " * n, s) for i, n, s in docs], "doc_id long, text string, source string").repartition(3)).collect()
+    assert {x.doc_id: x.taken for x in rows} == plain(docs, {x.source: x.target for x in rows})
+
+
+def test_chances_are_unequal_and_kept(spark):
+    docs = spark.range(40000).selectExpr("id as doc_id", "repeat('w ', if(id % 2 = 0, 10, 100)) as text", "if(id % 8 < 6, 'a', if(id % 8 = 6, 'b', 'c')) as source")
+    rows = [x for x in mix(docs).collect() if x.source == "a"]
+    f = rows[0].target / rows[0].source_size % 1
+    whole = int(rows[0].target / rows[0].source_size)
+    words = {n: sum(x["size"] for x in rows if x["size"] == n) for n in (10, 100)}
+    middle = {10: words[10] / 2 / sum(words.values()), 100: (words[10] + words[100] / 2) / sum(words.values())}
+    assert 0.05 < f < 0.95
+    for n in (10, 100):
+        p = f + f * (1 - f) * (2 * middle[n] - 1)
+        own = [x.taken / n - whole for x in rows if x["size"] == n]
+        assert abs(sum(own) / len(own) - p) < 4 * math.sqrt(p * (1 - p) / len(own)), (n, p)
