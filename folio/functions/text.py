@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,21 @@ from pyspark.sql import functions as F
 FOLD_FROM, FOLD_TO = "ÇĞİIÖŞÜçğıiöşül", "CGIIOSUCGIIOSUI"
 MARKED, UNMARKED = "ÇĞİÖŞÜ", "CGIOSU"
 CAPITALS = "A-ZÇĞİÖŞÜ"
-SLUG_FROM, SLUG_TO = "çğıöşüÇĞİÖŞÜâîûÂÎÛéèêáàóòíìúùñäëïÉÈÊÁÀÓÒÍÌÚÙÑÄËÏ", "cgiosuCGIOSUaiuAIUeeeaaooiiuunaeiEEEAAOOIIUUNAEI"
+NAME_LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü"
+NOTHING_READ = "YOK"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters and digits that Unicode decomposes into one of ASCII and marks, the dotless i besides."""
+    pairs = {"ı": "i"}
+    for ch in map(chr, range(0x80, 0x10000)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if len(base) == 1 and base.isascii() and base.isalnum():
+            pairs[ch] = base
+    return "".join(pairs), "".join(pairs.values())
+
+
+PLAIN_FROM, PLAIN_TO = _plain_letters()
 
 
 def strip(s: Column) -> Column:
@@ -39,28 +55,37 @@ def unmark(s: Column) -> Column:
     return F.translate(s, MARKED, UNMARKED)
 
 
+def name_letters(s: Column) -> Column:
+    """A name's letters and spaces, without the rest."""
+    return strip(F.regexp_replace(s, f"[^{NAME_LETTERS} ]", ""))
+
+
 def plausible_name(s: Column) -> Column:
-    """One to four words, five characters or more once cleaned, three quarters of them letters or spaces."""
-    letters = F.regexp_replace(s, r"[^\p{L} ]", "")
-    words = F.size(F.filter(F.split(strip(letters), r"\s+"), lambda x: x != ""))
+    """One to four words, five characters or more once cleaned, three quarters of them letters (A-Z and Turkish ones) or spaces; false for null."""
+    letters = F.regexp_replace(s, f"[^{NAME_LETTERS} ]", "")
+    words = F.size(F.filter(F.split(letters, " "), lambda x: x != ""))
     return F.coalesce((s != "") & (F.length(letters) >= 0.75 * F.length(s)) & (F.length(strip(letters)) >= 5) & words.between(1, 4), F.lit(False))
 
 
 def clean_reading(raw: Column) -> Column:
-    """A reader's first line as a name; its word for nothing (YOK) is empty."""
+    """A reader's first line as a name; its word for nothing (YOK, as it stands) is empty."""
     line = strip(F.regexp_replace(F.split(strip(raw), "\n")[0], r"^[\s:\-]+", ""))
-    name = normalize(line)
-    return F.when(name == "YOK", F.lit("")).otherwise(name)
+    return F.when(turkish_upper(line) == NOTHING_READ, F.lit("")).otherwise(normalize(line))
+
+
+def only_digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
 
 
 def digits_of(raw: Column, least: int, most: int) -> Column:
     """The digits of a reading's first line if their number fits, else empty."""
-    found = F.regexp_replace(F.split(strip(raw), "\n")[0], "[^0-9]", "")
+    found = only_digits(F.split(strip(raw), "\n")[0])
     return F.when(F.length(found).between(least, most), found).otherwise(F.lit(""))
 
 
 def slug(s: Column) -> Column:
-    plain = F.lower(F.translate(s, SLUG_FROM, SLUG_TO))
+    """A file name of a-z, 0-9 and _: marks are dropped, and so are letters without a plain form (and signs that stand for several letters)."""
+    plain = F.lower(F.translate(s, PLAIN_FROM, PLAIN_TO))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(plain), r"[\s_]+", "_"), "[^a-z0-9_]", ""), "^_+|_+$", "")
 
 
@@ -74,7 +99,7 @@ def mask_id(s: Column) -> Column:
 
 def id_valid(s: Column) -> Column:
     """Checksum of the eleven-digit id; false for anything else."""
-    d = [F.try_to_number(F.substring(s, k, 1), F.lit("9")).cast("int") for k in range(1, 12)]
+    d = [F.ascii(F.substring(s, k, 1)) - 48 for k in range(1, 12)]
     tenth = F.pmod(7 * (d[0] + d[2] + d[4] + d[6] + d[8]) - (d[1] + d[3] + d[5] + d[7]), F.lit(10))
     last = F.pmod(sum(d[1:10], d[0]), F.lit(10))
     return F.coalesce(s.rlike("^[1-9][0-9]{10}$") & (tenth == d[9]) & (last == d[10]), F.lit(False))
@@ -95,3 +120,11 @@ def merge_spelling(read: Column, ocr: Column) -> Column:
     cuts = F.array_union(before(read), before(ocr))
     spaced = F.transform(letters, lambda c, i: F.concat(c, F.when(F.array_contains(cuts, i + 1) & (i + 1 < F.size(letters)), F.lit(" ")).otherwise(F.lit(""))))
     return F.array_join(spaced, "")
+
+
+def short_duration(seconds: Column) -> Column:
+    """Seconds as a short text: ~40 sn, ~3 dk, ~2 sa 5 dk; empty if null or not positive."""
+    minutes = F.floor(seconds / 60 + 0.5).cast("long")
+    text = F.when(seconds < 60, F.format_string("~%d sn", F.floor(seconds + 0.5).cast("long"))).when(minutes < 60, F.format_string("~%d dk", minutes))
+    text = text.otherwise(F.format_string("~%d sa %d dk", F.floor(minutes / 60).cast("long"), minutes % 60))
+    return F.when(seconds > 0, text).otherwise(F.lit(""))

@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import fold, id_valid, plausible_name
+from folio.functions.text import fold
 
-# labels' folded spelling, and distances in points.
+# labels' folded spelling, the stems of an official's role, and distances in points.
+OFFICIAL_STEMS = ("VEZNEDAR", "MEMUR", "YETKILI", "IMZA", "MUDUR", "MUDURLUGU", "SEKRETER", "BASKAN", "TASDIK", "ONAY", "KATIP")
 NAME_LABEL, ID_LABEL, SPARE_LABEL = "ADISOYADI", "TCKIMLIKNO", "SOYADI"
 EDITS, WORDS, GAP, VALUE_SLACK = 2, 4, 25.0, 0.5
 BLOCK_HEIGHT, BLOCK_GAP = 65.0, 120.0
 ON_PAGE = ["doc_id", "page_no"]
 
 
+#: Height in points of the bands that words meet in.
+BAND = 12.0
+
+
 def same_line(words: DataFrame) -> DataFrame:
-    """Pairs (a, b) of words on one line: the middle of one box lies inside the other's height."""
-    a = words.select(*ON_PAGE, F.struct("word_no", "x0", "y0", "x1", "y1", "word").alias("a"))
-    b = words.select(*ON_PAGE, F.struct("word_no", "x0", "y0", "x1", "y1", "word").alias("b"))
-    mid = lambda s: (F.col(f"{s}.y0") + F.col(f"{s}.y1")) / 2
-    inside = lambda m, s: (F.col(f"{s}.y0") < m) & (m < F.col(f"{s}.y1"))
-    return a.join(b, ON_PAGE).where(inside(mid("a"), "b") | inside(mid("b"), "a"))
+    """Pairs (a, b) of words on one line: the middle of one box lies inside the other's height.
+
+    A word's middle meets only the words whose height reaches into its band of the page. A
+    word without height is on no line. Words with a null coordinate have no pairs.
+    """
+    word = F.struct("word_no", "x0", "y0", "x1", "y1", "word")
+    middle = lambda s: (F.col(f"{s}.y0") + F.col(f"{s}.y1")) / 2
+    band = lambda y: F.floor(y / BAND)
+    points = words.where("y0 <= y1").select(*ON_PAGE, word.alias("p")).withColumn("band", band(middle("p")))
+    spans = words.where("y0 <= y1").select(*ON_PAGE, word.alias("q"), F.explode(F.sequence(band(F.col("y0")), band(F.col("y1")))).alias("band"))
+    inside = lambda x, y: (F.col(f"{y}.y0") < middle(x)) & (middle(x) < F.col(f"{y}.y1"))
+    met = points.join(spans, [*ON_PAGE, "band"]).where(inside("p", "q"))
+    both = F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.when(~inside("q", "p"), F.struct(F.col("q").alias("a"), F.col("p").alias("b"))))
+    return met.select(*ON_PAGE, F.explode(both).alias("x")).where("x is not null").select(*ON_PAGE, "x.a", "x.b")
 
 
 def windows(words: DataFrame, label: str, edits: int = EDITS) -> DataFrame:
@@ -35,7 +48,7 @@ def windows(words: DataFrame, label: str, edits: int = EDITS) -> DataFrame:
 
 
 def label_values(words: DataFrame, label: str, edits: int = EDITS) -> DataFrame:
-    """(doc_id, page_no, value, box) right of the label; of a page's lines the first that has a value.
+    """(doc_id, page_no, value, box) right of the label; of a page's lines the first that has a value. The box is that of the value's words.
 
     The best window is the nearest spelling, then the most letters, then the one that ends
     first. Its value runs to the right until a gap of more than a column's.
@@ -46,19 +59,23 @@ def label_values(words: DataFrame, label: str, edits: int = EDITS) -> DataFrame:
     kept = F.slice("right", 1, F.coalesce(first_gap, F.size("right")))
     found = best.withColumn("right", right).where(F.size("right") > 0).withColumn("kept", kept)
     found = found.withColumn("value", F.regexp_replace(F.array_join(F.transform("kept", lambda x: x["word"]), " "), "^[: ]+", "")).where("value <> ''")
-    one = found.groupBy(*ON_PAGE).agg(F.min_by(F.struct("value", "x0", "y0", F.array_max(F.transform("kept", lambda x: x["x1"])).alias("x1"), "y1"), "seed").alias("f"))
+    one = found.groupBy(*ON_PAGE).agg(F.min_by(F.struct("value", *(pick(f"kept.{c}").alias(c) for c, pick in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)))), "seed").alias("f"))
     return one.select(*ON_PAGE, "f.value", F.struct("f.x0", "f.y0", "f.x1", "f.y1").alias("box"))
 
 
-def label_boxes(words: DataFrame, label: str, roles: DataFrame | None = None, edits: int = EDITS) -> DataFrame:
-    """The label's own box on each page: starts with a capital, not inside an official's block; topmost, then nearest, then most letters, then first."""
+def label_boxes(words: DataFrame, label: str, stems: tuple[str, ...] = OFFICIAL_STEMS, edits: int = EDITS) -> DataFrame:
+    """The label's own box on each page: starts with a capital, not inside an official's block; topmost, then nearest, then most letters, then first.
+
+    A block is an official's if a word that holds one of the stems begins between ``BLOCK_HEIGHT`` above the label's top and as
+    much below its bottom, with at most ``BLOCK_GAP`` between them to the side.
+    """
     found = windows(words, label, edits)
     first = F.regexp_replace(F.element_at(F.col("line"), F.col("i"))["word"], r"^[.:\-–( ]+", "")
     found = found.where(first.rlike(r"^\p{Lu}"))
-    if roles is not None:
-        near = words.join(F.broadcast(roles), fold(F.col("word")).startswith(F.col("stem"))).select(*ON_PAGE, F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("y0").alias("ry0"))
+    if stems:
+        near = words.where(fold(F.col("word")).rlike("|".join(stems))).select(*ON_PAGE, F.col("x0").alias("rx0"), F.col("x1").alias("rx1"), F.col("y0").alias("ry0"))
         gap = F.greatest(F.col("rx0") - F.col("x1"), F.col("x0") - F.col("rx1"), F.lit(0.0))
-        block = [found["doc_id"] == near["doc_id"], found["page_no"] == near["page_no"], F.abs(F.col("ry0") - F.col("y0")) <= BLOCK_HEIGHT, gap <= BLOCK_GAP]
+        block = [found["doc_id"] == near["doc_id"], found["page_no"] == near["page_no"], F.col("ry0").between(F.col("y0") - BLOCK_HEIGHT, F.col("y1") + BLOCK_HEIGHT), gap <= BLOCK_GAP]
         found = found.join(near, block, "left_anti")
     return found.groupBy(*ON_PAGE).agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), F.struct("y0", "distance", -F.col("letters"), "seed", "i", "n")).alias("b")).select(*ON_PAGE, "b.*")
 
@@ -68,17 +85,11 @@ def line_box(x0, y0, y1, page_width, pad: float = 0.6):
     return F.struct(F.greatest(x0 - 2, F.lit(0.0)).alias("x0"), (y0 - pad * (y1 - y0)).alias("y0"), page_width.alias("x1"), (y1 + pad * (y1 - y0)).alias("y1"))
 
 
-def extract(pages: DataFrame, words: DataFrame) -> DataFrame:
-    """name, national_id, registry_no and warning of each document: pages with a DN number first, then in order."""
-    from folio.functions.registry_numbers import DN, decision
-
-    place = pages.select(*ON_PAGE, F.struct((~F.col("page_text").rlike(DN)).alias("late"), F.col("page_no").alias("no")).alias("rank"))
-    names = label_values(words, NAME_LABEL).where(plausible_name(F.col("value"))).withColumn("spare", F.lit(0))
-    spare = label_values(words, SPARE_LABEL).where(plausible_name(F.col("value"))).withColumn("spare", F.lit(1))
-    names = names.unionByName(spare).join(place, ON_PAGE).groupBy("doc_id").agg(F.min_by("value", F.struct("spare", "rank")).alias("name"))
-    digits = F.regexp_replace("value", "[^0-9]", "")
-    ids = label_values(words, ID_LABEL).withColumn("id", digits).where(id_valid(F.col("id"))).join(place, ON_PAGE).groupBy("doc_id").agg(F.min_by("id", "rank").alias("national_id"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "page_text"))), lambda x: x["page_text"]), "\n")
-    numbers = pages.groupBy("doc_id").agg(text.alias("text")).select("doc_id", decision(F.col("text")).alias("r"))
-    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return numbers.join(names, "doc_id", "left").join(ids, "doc_id", "left").select("doc_id", empty("name"), empty("national_id"), F.col("r.value").alias("registry_no"), F.col("r.warning").alias("warning"))
+def padded_box(x0, y0, x1, y1, page_width, page_height, pad: float = 6.0):
+    """A region to cut out of the page: the box with a margin, inside the page."""
+    return F.struct(F.greatest(x0 - pad, F.lit(0.0)).alias("x0"), F.greatest(y0 - pad, F.lit(0.0)).alias("y0"), F.least(x1 + pad, page_width).alias("x1"), F.least(y1 + pad, page_height).alias("y1"))
+
+
+def top_strip(page_width, page_height, share: float = 0.22):
+    """The upper part of a page, where a number stands that no word leads to."""
+    return F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), page_width.alias("x1"), (page_height * share).alias("y1"))

@@ -49,28 +49,68 @@ def blocks(pages: DataFrame, label: str = "who") -> DataFrame:
     return runs.groupBy("doc_id", "_run", F.col(label).alias("who")).agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page")).drop("_run")
 
 
-def owner_letters(pages: DataFrame) -> DataFrame:
-    """Letters by first appearance: the first owner A, the next B, up to H; more, and pages without owner, ?."""
-    first = pages.where("owner is not null").groupBy("doc_id", "owner").agg(F.min("page_no").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
-    letters = first.withColumn("rank", rank).select("doc_id", "owner", F.when(F.col("rank") <= len(LETTERS), F.substring(F.lit(LETTERS), F.col("rank"), F.lit(1))).otherwise(F.lit("?")).alias("letter"))
+def owner_letters(pages: DataFrame, primary: Column | None = None) -> DataFrame:
+    """Letters by first appearance, up to H; more, and pages without owner, ?.
+
+    A is the primary owner's (a Column; null or empty if there is none), wherever it first appears, and else the first owner's.
+    """
+    chosen = F.coalesce(primary, F.lit("")) if primary is not None else F.lit("")
+    first = pages.withColumn("_p", chosen).where("owner is not null").groupBy("doc_id", "owner", "_p").agg(F.min("page_no").alias("first")).withColumn("_own", F.col("owner") == F.col("_p"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("first"))
+    place = F.when(F.col("_own"), 1).otherwise(rank + (F.col("_p") != "").cast("int"))
+    letters = first.withColumn("rank", place).select("doc_id", "owner", F.when(F.col("rank") <= len(LETTERS), F.substring(F.lit(LETTERS), F.col("rank"), F.lit(1))).otherwise(F.lit("?")).alias("letter"))
     return pages.join(letters, ["doc_id", "owner"], "left").withColumn("letter", F.coalesce("letter", F.lit("?")))
 
 
-def split_plan(pages: DataFrame, primary: str = "A") -> DataFrame:
-    """map, splittable and reason of each document from pages with owner and page_kind.
+def split_plan(pages: DataFrame, primary: str | Column = "A") -> DataFrame:
+    """map, second, n_blocks, splittable and reason of each document from pages with owner and page_kind.
 
-    The map is the one after attachments have taken their owners. Split only into exactly
-    two blocks, one of the primary person and one of a single other; any suspicious page
-    or a third person stops it.
+    The map is the one after attachments have taken their owners. A suspicious page stops
+    the split, and so does the lack of a second person; else it takes exactly
+    two blocks, one of the primary person and one of the second (the first other in page order).
+    """
+    who = F.lit(primary) if isinstance(primary, str) else primary
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = F.coalesce(F.last("owner", True).over(back), F.first("owner", True).over(ahead))
+    rows = pages.withColumn("_primary", who).withColumn("_near", near)
+    rows = rows.withColumn("_own", F.when(F.col("owner").isNotNull() | (F.col("page_kind") == "attachment"), F.col("_near")))
+    other = lambda c: F.when(F.col(c) != F.col("_primary"), F.col(c))
+    rows = rows.withColumn("_second", F.first(other("_own"), True).over(whole))
+    rows = rows.withColumn("_who", F.when(F.col("_near") == F.col("_primary"), "A").when(F.col("_near") == F.col("_second"), "B").otherwise("?"))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_who") != F.lag("_who").over(w), F.lit(True)))
+    letter = F.when(F.col("_own").isNull(), "?").when(F.col("_own") == F.col("_primary"), "A").otherwise("B")
+    plan = rows.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", letter.alias("w")))), lambda x: x["w"]), "").alias("map"),
+        F.first("_second").alias("second"),
+        F.count_if("_new").alias("n_blocks"),
+        F.count_if(F.col("_new") & (F.col("_who") == "?")).alias("_others"),
+        F.count_if(F.col("page_kind") == "suspicious").alias("_suspicious"),
+    )
+    reason = F.when(F.col("_suspicious") > 0, "suspicious page").when(F.col("second").isNull(), "no second person").when(F.col("n_blocks") != 2, "interleaved").when(F.col("_others") > 0, "third person").otherwise("")
+    return plan.select("doc_id", "map", "second", "n_blocks", (reason == "").alias("splittable"), reason.alias("reason"))
+
+
+def plan_json(pages: DataFrame, plan: DataFrame, primary: Column) -> DataFrame:
+    """(doc_id, plan): a split plan as JSON, with each page's number, owner letter, suggestion and id.
+
+    Pages have owner and page_kind. A page's letter goes by its id, so a third person shows as C, where the map says B.
     """
-    filled = fill_owners(pages)
-    who = F.when(F.col("filled").isNull(), "?").when(F.col("filled") == primary, "A").otherwise("B")
-    maps = filled.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", who.alias("w")))), lambda x: x["w"]), "").alias("map"), F.count_if(F.col("filled").isNull()).alias("open"), F.count_distinct(F.when(F.col("filled") != primary, F.col("filled"))).alias("others"))
-    all_filled = fill_owners(pages, False).withColumn("who", F.when(F.col("filled") == primary, "A").otherwise(F.col("filled")))
-    counts = blocks(all_filled).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("who") == "A").alias("n_primary"))
-    reason = F.when(F.col("open") > 0, "suspicious page").when(F.col("others") == 0, "no second person").when(F.col("others") > 1, "third person").when((F.col("n_blocks") != 2) | (F.col("n_primary") != 1), "interleaved").otherwise("")
-    return maps.join(counts, "doc_id").select("doc_id", "map", "n_blocks", (reason == "").alias("splittable"), reason.alias("reason"))
+    owned = fill_owners(pages).drop("owner").withColumnRenamed("filled", "owner")
+    lettered = owner_letters(owned, primary).join(plan.select("doc_id", "map", "second"), "doc_id").withColumn("suggestion", F.substring("map", F.col("page_no").cast("int"), F.lit(1)))
+    person = F.coalesce("owner", F.when(F.col("suggestion") == "A", primary).when(F.col("suggestion") == "B", F.col("second")), F.lit(""))
+    page = F.struct(F.col("page_no").alias("no"), F.col("letter").alias("owner"), "suggestion", person.alias("id"))
+    listed = lettered.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    return plan.join(listed, "doc_id").select("doc_id", F.to_json(F.struct("map", F.coalesce("second", F.lit("")).alias("second"), "splittable", "reason", "pages")).alias("plan"))
+
+
+def spread_suggestion(pages: DataFrame) -> DataFrame:
+    """Column spread: open pages (?) take the letter before, A at the start; a page's own letter counts where any differs from the map."""
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    differs = F.max(F.coalesce(F.col("letter") != F.col("suggestion"), F.lit(False))).over(Window.partitionBy("doc_id"))
+    rows = pages.withColumn("_l", F.when(differs, F.coalesce("letter", "suggestion")).otherwise(F.col("suggestion")))
+    return rows.withColumn("spread", F.coalesce(F.last(F.nullif("_l", F.lit("?")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("A"))).drop("_l")
 
 
 def user_plan(maps: DataFrame) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import fold
+from folio.functions.text import fold, normalize, strip
 
 
 def content_key(text: Column) -> Column:
-    """Hash of a document's text; short texts have none."""
-    return F.when(F.length(F.trim(text)) >= 200, F.sha2(F.trim(text), 256)).otherwise(F.lit(""))
+    """Hash of a document's text without white space at its ends; texts of under 200 characters, and null, have none."""
+    return F.when(F.length(strip(text)) >= 200, F.sha2(strip(text), 256)).otherwise(F.lit(""))
 
 
 def mark_duplicates(files: DataFrame) -> DataFrame:
@@ -36,11 +34,14 @@ def route(official: Column, duplicate: Column, multi: Column, splittable: Column
 
 def _family(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["used", "seq"], ascending=[False, True])
-    taken, names = set(), []
+    taken, next_number, names = set(), {}, []
     for slug, used in zip(group["slug"], group["used"], strict=True):
-        name, k = slug, 2
-        while not used and name in taken:
-            name, k = f"{slug}_{k}", k + 1
+        name = slug
+        if not used and name in taken:
+            k = next_number.get(slug, 2)
+            while (name := f"{slug}_{k}") in taken:
+                k += 1
+            next_number[slug] = k + 1  # numbers below are taken for good
         taken.add(name)
         names.append(name)
     return group.assign(name=names)[["seq", "slug", "used", "name"]]
@@ -64,20 +65,30 @@ def allocate_names(slugs: DataFrame) -> DataFrame:
 
 
 def suggest_person(names: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
-    """(name, key, distance, ambiguous): index keys within two edits of a folded name of five letters or more.
+    """(name, key, distance, ambiguous): the index key nearest to a name, within ``most`` edits of its folded letters.
 
-    Two edits leave one of three parts of the shorter spelling whole and at most two
-    places off, so only pairs that share such a part are compared.
+    Names of under five letters have no suggestion; of several nearest keys the first in
+    order is given and marked ambiguous. Edits leave one of ``most`` + 1 parts of the name whole and at most
+    ``most`` places off, so a key is only compared with names that hold one of its strings at a part's place.
     """
-    a = names.select("name", fold(F.col("name")).alias("f")).where(F.length("f") >= 5).distinct()
-    b = index.select("key", fold(F.col("key")).alias("g")).where(F.length("g") >= 5).distinct()
-    n = F.floor(F.length("f") / 3).cast("int")
-    cuts = F.array(F.substring("f", F.lit(1), n), F.substring("f", n + 1, n), F.substring("f", 2 * n + 1, F.length("f") - 2 * n))
-    left = a.withColumn("part", F.explode(F.array_distinct(cuts)))
-    sizes = left.select(F.length("part").alias("n")).distinct()
-    right = b.join(F.broadcast(sizes)).where(F.col("n") <= F.length("g")).select("key", "g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("n") + 1), lambda i: F.substring(F.col("g"), i, F.col("n"))))).alias("part"))
-    near = left.join(right, "part").where(F.abs(F.length("f") - F.length("g")) <= most).select("name", "f", "key", "g").distinct().withColumn("distance", F.levenshtein("f", "g", most)).where("distance >= 0")
-    best = near.withColumn("least", F.min("distance").over(Window.partitionBy("name"))).where("distance = least")
+    a = names.select("name", fold(normalize(F.col("name"))).alias("f")).where(F.length("f") >= 5).distinct()
+    b = index.select("key", fold(F.translate("key", "_", "")).alias("g")).where("g <> ''").distinct()
+
+    def starts(length):
+        return [F.floor(length * k / (most + 1)).cast("int") for k in range(most + 2)]
+
+    own = starts(F.length("f"))
+    parts = F.array(*(F.struct(F.length("f").alias("n"), F.lit(k).alias("k"), F.substring("f", own[k] + 1, own[k + 1] - own[k]).alias("part")) for k in range(most + 1)))
+    left = a.withColumn("x", F.explode(parts))
+
+    def near(n):
+        cut = starts(n)
+        return F.array(*(F.when(cut[k] + shift >= 0, F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(F.col("g"), cut[k] + shift + 1, cut[k + 1] - cut[k]).alias("part"))) for k in range(most + 1) for shift in range(-most, most + 1)))
+
+    lengths = F.sequence(F.greatest(F.length("g") - most, F.lit(5)), F.greatest(F.length("g") + most, F.lit(5)))
+    right = b.select("key", "g", F.explode(F.array_distinct(F.flatten(F.transform(lengths, near)))).alias("x")).where("x is not null")
+    near_pairs = left.join(right, "x").select("name", "f", "key", "g").distinct().withColumn("distance", F.levenshtein("f", "g", most)).where("distance >= 0")
+    best = near_pairs.withColumn("least", F.min("distance").over(Window.partitionBy("name"))).where("distance = least")
     return best.groupBy("name").agg(F.min("key").alias("key"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
 
 
@@ -97,6 +108,3 @@ def upsert(base: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     joined = base.join(renamed, key, "left")
     return joined.select(*(F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
 
-
-def family_of(slug: str) -> str:
-    return re.sub(r"(_[0-9]+)+$", "", slug)

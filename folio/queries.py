@@ -146,22 +146,19 @@ def q_page_kind(spark, d):
     return line_pages(spark, d).groupBy(P.page_kind(F.col("page_text"), F.col("page_no") % 3 == 0).alias("kind")).agg(F.count("*").alias("n_pages"))
 
 
-@query(PAGES_SQL + "SELECT doc_id, bool_or(page_no <= 5 AND contains(page_text, 'tion')) AS official FROM p GROUP BY 1")
-def q_official_gate(spark, d):
-    return line_pages(spark, d).groupBy("doc_id").agg(F.bool_or((F.col("page_no") <= 5) & F.contains("page_text", F.lit("tion"))).alias("official"))
-
-
 @query(PAGES_SQL + ", f AS (SELECT doc_id, min(page_no) FILTER (contains(page_text, 'tion')) first_page, count(*) n FROM p GROUP BY 1) SELECT first_page, count(*) AS n_docs, min(n) AS least, max(n) AS most FROM f GROUP BY 1")
 def q_corpus_stats(spark, d):
     first = line_pages(spark, d).groupBy("doc_id").agg(F.min(F.when(F.contains("page_text", F.lit("tion")), F.col("page_no").cast("long"))).alias("first_page"), F.count("*").alias("n"))
     return first.groupBy("first_page").agg(F.count("*").alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-HASH_SQL = "WITH h AS (SELECT doc_id, CASE WHEN length(trim(text)) >= 200 THEN sha256(trim(text)) ELSE '' END text_hash, sha256(text) file_hash FROM documents)"
+# Every third text has a newline more, which its file's hash sees and its content's doesn't.
+HASH_SQL = "WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END AS text FROM documents), u AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') s FROM t), h AS (SELECT doc_id, CASE WHEN length(s) >= 200 THEN sha256(s) ELSE '' END text_hash, sha256(text) file_hash FROM u)"
 
 
 def hashed(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), G.content_key(F.col("text")).alias("text_hash"), F.sha2("text", 256).alias("file_hash"))
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), text.alias("text")).select("seq", G.content_key(F.col("text")).alias("text_hash"), F.sha2("text", 256).alias("file_hash"))
 
 
 @query(HASH_SQL + " SELECT doc_id AS seq, text_hash, file_hash FROM h")
@@ -187,10 +184,10 @@ blocks AS (SELECT doc_id, run, who, min(page_no) first_page, max(page_no) last_p
 
 
 def event_pages(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_format("ts", "yyyy-MM-dd")
-    no = F.row_number().over(Window.partitionBy("user_id", day).orderBy("ts", "event_id"))
     owner = F.when(F.col("event_type") == "purchase", "A").when(F.col("event_type") == "error", "B")
-    return table(spark, d, "events").select(F.concat_ws("-", "user_id", day).alias("doc_id"), no.alias("page_no"), owner.alias("owner"), "event_id", F.lit("attachment").alias("page_kind"))
+    rows = table(spark, d, "events").withColumn("doc_id", F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "event_id"))  # the plans partition by doc_id too
+    return rows.select("doc_id", no.alias("page_no"), owner.alias("owner"), "event_id", F.lit("attachment").alias("page_kind"))
 
 
 @query(OWN_SQL + "SELECT doc_id, CAST(page_no AS BIGINT) page_no, CASE WHEN owner IS NOT NULL OR event_id % 4 <> 0 THEN who END AS filled FROM f")
@@ -205,25 +202,32 @@ def q_blocks(spark, d):
     return out.select("doc_id", "who", F.col("first_page").cast("long").alias("first_page"), F.col("last_page").cast("long").alias("last_page"))
 
 
-@query(OWN_SQL + ", a AS (SELECT doc_id, owner, min(page_no) first FROM ev WHERE owner IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) k FROM a) SELECT ev.doc_id, CAST(ev.page_no AS BIGINT) page_no, coalesce(substr('ABCDEFGH', CAST(k AS INT), 1), '?') AS letter FROM ev LEFT JOIN r ON ev.doc_id = r.doc_id AND ev.owner = r.owner")
+@query(OWN_SQL + ", a AS (SELECT doc_id, owner, min(page_no) first FROM ev WHERE owner IS NOT NULL GROUP BY 1, 2), b AS (SELECT *, CASE WHEN length(doc_id) % 2 = 0 THEN 'B' ELSE '' END p FROM a), r AS (SELECT *, CASE WHEN owner = p THEN 1 WHEN p = 'B' THEN 1 + row_number() OVER (PARTITION BY doc_id, owner = p ORDER BY first) ELSE row_number() OVER (PARTITION BY doc_id ORDER BY first) END k FROM b) SELECT ev.doc_id, CAST(ev.page_no AS BIGINT) page_no, coalesce(substr('ABCDEFGH', CAST(k AS INT), 1), '?') AS letter FROM ev LEFT JOIN r ON ev.doc_id = r.doc_id AND ev.owner = r.owner")
 def q_owner_letters(spark, d):
-    return P.owner_letters(event_pages(spark, d)).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "letter")
+    primary = F.when(F.length("doc_id") % 2 == 0, "B")
+    return P.owner_letters(event_pages(spark, d), primary).select("doc_id", F.col("page_no").cast("long").alias("page_no"), "letter")
 
 
-PLAN_SQL = OWN_SQL + """, m AS (SELECT doc_id, string_agg(coalesce(who, '?'), '' ORDER BY page_no) AS "map", bool_or(who IS NULL) AS open, bool_or(who = 'B') AS other FROM f GROUP BY 1),
-n AS (SELECT doc_id, count(*) n_blocks, count(*) FILTER (who = 'A') na FROM blocks GROUP BY 1),
-plans AS (SELECT m.doc_id, "map", n_blocks, CASE WHEN open THEN 'suspicious page' WHEN NOT coalesce(other, false) THEN 'no second person' WHEN n_blocks <> 2 OR na <> 1 THEN 'interleaved' ELSE '' END AS reason FROM m JOIN n USING (doc_id))
+PLAN_SQL = OWN_SQL + """, k AS (SELECT *, owner IS NULL AND event_id % 40 = 0 AS suspicious FROM f),
+m AS (SELECT doc_id, string_agg(CASE WHEN suspicious THEN '?' ELSE coalesce(who, '?') END, '' ORDER BY page_no) AS "map", bool_or(suspicious) AS open, bool_or(who = 'B') AS other FROM k GROUP BY 1),
+n AS (SELECT doc_id, count(*) n_blocks FROM blocks GROUP BY 1),
+plans AS (SELECT m.doc_id, "map", CASE WHEN other THEN 'B' END AS second, n_blocks, CASE WHEN open THEN 'suspicious page' WHEN NOT coalesce(other, false) THEN 'no second person' WHEN n_blocks <> 2 THEN 'interleaved' ELSE '' END AS reason FROM m JOIN n USING (doc_id))
 """
 
 
-@query(PLAN_SQL + "SELECT doc_id, \"map\", n_blocks, reason = '' AS splittable, reason FROM plans")
+def planned_pages(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("owner").isNull() & (F.col("event_id") % 40 == 0), "suspicious").otherwise("attachment")
+    return event_pages(spark, d).withColumn("page_kind", kind)
+
+
+@query(PLAN_SQL + "SELECT doc_id, \"map\", second, n_blocks, reason = '' AS splittable, reason FROM plans")
 def q_split_plan(spark, d):
-    return P.split_plan(event_pages(spark, d))
+    return P.split_plan(planned_pages(spark, d))
 
 
 @query(PLAN_SQL + "SELECT b.doc_id || '_part' || first_page || '-' || last_page || '_' || b.who AS part_id, CAST(page_no AS BIGINT) page_no, CAST(page_no - first_page + 1 AS BIGINT) AS new_no FROM plans JOIN blocks b USING (doc_id) JOIN ev ON ev.doc_id = b.doc_id AND page_no BETWEEN first_page AND last_page WHERE reason = ''")
 def q_split_pages(spark, d):
-    pages = event_pages(spark, d)
+    pages = planned_pages(spark, d)
     good = P.split_plan(pages).where("splittable").select("doc_id")
     parts = P.blocks(P.fill_owners(pages, False).withColumnRenamed("filled", "who")).join(good, "doc_id", "left_semi")
     return P.split_pages(pages.select("doc_id", "page_no"), parts).select("part_id", F.col("page_no").cast("long").alias("page_no"), F.col("new_no").cast("long").alias("new_no"))
@@ -286,14 +290,19 @@ def q_normalize(spark, d):
     return turkish(spark, d).select("k", T.normalize(F.col("s")).alias("s"))
 
 
-@query(TR_SQL + ", c AS (SELECT k, s, regexp_replace(s, '[^\\p{L} ]', '', 'g') l FROM t) SELECT k, length(l) >= 0.75*length(s) AND length(trim(l)) >= 5 AND len(regexp_extract_all(l, '[^ ]+')) BETWEEN 1 AND 4 AS plausible FROM c")
+NAMES_SQL = TR_SQL + ", n AS (SELECT k, CASE WHEN k % 6 = 4 THEN 'Иван Петров' WHEN k % 6 = 5 THEN 'AYŞE DEMİR' ELSE s END AS s FROM t)"
+
+
+@query(NAMES_SQL + ", c AS (SELECT k, s, regexp_replace(s, '[^A-Za-zÇĞİÖŞÜçğıöşü ]', '', 'g') l FROM n) SELECT k, length(l) >= 0.75*length(s) AND length(trim(l)) >= 5 AND len(regexp_extract_all(l, '[^ ]+')) BETWEEN 1 AND 4 AS plausible FROM c")
 def q_plausible_name(spark, d):
-    return turkish(spark, d).select("k", T.plausible_name(F.col("s")).alias("plausible"))
+    k = F.col("k") % 6
+    names = turkish(spark, d).withColumn("s", F.when(k == 4, "Иван Петров").when(k == 5, "AYŞE DEMİR").otherwise(F.col("s")))
+    return names.select("k", T.plausible_name(F.col("s")).alias("plausible"))
 
 
-@query(TR_SQL + " SELECT k, CASE WHEN k % 5 = 0 THEN '' ELSE trim(regexp_replace(regexp_replace(upper(translate(trim(s), 'iı', 'İI')), '[^A-ZÇĞİÖŞÜ ]', '', 'g'), ' +', ' ', 'g')) END AS name FROM t")
+@query(TR_SQL + " SELECT k, CASE WHEN k % 5 = 0 THEN '' WHEN k % 5 = 1 THEN 'YOK' ELSE trim(regexp_replace(regexp_replace(upper(translate(trim(s), 'iı', 'İI')), '[^A-ZÇĞİÖŞÜ ]', '', 'g'), ' +', ' ', 'g')) END AS name FROM t")
 def q_clean_reading(spark, d):
-    raw = F.when(F.col("k") % 5 == 0, ": yok\nnothing").otherwise(F.concat(F.lit(": - "), F.col("s"), F.lit("\nsecond line")))
+    raw = F.when(F.col("k") % 5 == 0, ": yok\nnothing").when(F.col("k") % 5 == 1, "- yok.").otherwise(F.concat(F.lit(": - "), F.col("s"), F.lit("\nsecond line")))
     return turkish(spark, d).select("k", T.clean_reading(raw).alias("name"))
 
 
@@ -303,15 +312,17 @@ def q_digit_extract(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), T.digits_of(raw, 4, 5).alias("digits"))
 
 
-@query("SELECT p_partkey AS k, regexp_replace(regexp_replace(trim(lower(p_name)), '[ _]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS slug FROM part")
+@query("SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'joao_zizka_' WHEN 1 THEN 'cigdem_' ELSE '' END || regexp_replace(regexp_replace(trim(lower(p_name)), '[ _]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS slug FROM part")
 def q_slug(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.slug(F.concat(F.lit(" _"), F.col("p_name"), F.lit("__ "))).alias("slug"))
+    k = F.col("p_partkey")
+    before = F.when(k % 3 == 0, "João Žižka_").when(k % 3 == 1, "Çığdem ").otherwise("")
+    return table(spark, d, "part").select(k.alias("k"), T.slug(F.concat(F.lit(" _"), before, F.col("p_name"), F.lit("__ "))).alias("slug"))
 
 
-@query("WITH b AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT a.p_brand, a.p_name AS a, b.p_name AS b, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 8")
+@query("SELECT p_brand, p_name, CAST(levenshtein(p_name, p_brand || ' ' || p_type) AS BIGINT) AS distance FROM (SELECT DISTINCT p_brand, p_name, p_type FROM part)")
 def q_levenshtein(spark, d):
-    a = table(spark, d, "part").select("p_brand", F.col("p_name").alias("a")).distinct()
-    return a.join(a.withColumnRenamed("a", "b"), "p_brand").where("a < b").withColumn("distance", F.levenshtein("a", "b", 8).cast("long")).where("distance >= 0")
+    rows = table(spark, d, "part").select("p_brand", "p_name", "p_type").distinct()
+    return rows.select("p_brand", "p_name", F.levenshtein("p_name", F.concat_ws(" ", "p_brand", "p_type")).cast("long").alias("distance"))
 
 
 @query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'AYŞE NUR DEMİR' ELSE 'ALİ ÇELİK' END AS merged FROM customer")
@@ -330,6 +341,15 @@ def q_merge_names(spark, d):
 
 # ---- votes -----------------------------------------------------------------------------------
 
+# Readings by word, and with marked letters for two words on some pages: the vote goes by the unmarked word, and then letter by letter.
+MARK_SQL = """WITH e AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') doc_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) n, upper(event_type) w, event_id FROM events),
+r AS (SELECT doc_id, n, w, CASE event_id % 3 WHEN 0 THEN translate(w, 'CS', 'ÇŞ') WHEN 1 THEN translate(w, 'OS', 'ÖŞ') ELSE w END v FROM e WHERE n <= 50),
+g AS (SELECT doc_id, w, count(*) c, min(n) f FROM r GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) k FROM g),
+p AS (SELECT r.doc_id, r.n, b.c votes, i AS pos, substr(v, i, 1) ch, substr(r.w, i, 1) plain FROM r JOIN b ON r.doc_id = b.doc_id AND r.w = b.w AND b.k = 1, range(1, 30) t(i) WHERE i <= length(v)),
+q AS (SELECT doc_id, votes, pos, ch, count(*) c, min(n) f, bool_or(ch <> plain) marked FROM p GROUP BY 1, 2, 3, 4), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY c DESC, marked DESC, f) k FROM q),
+x AS (SELECT doc_id, votes, string_agg(ch, '' ORDER BY pos) majority FROM o WHERE k = 1 GROUP BY 1, 2)
+SELECT doc_id, majority, votes, CASE WHEN votes >= 2 THEN majority ELSE '' END AS agreed FROM x"""
+
 VOTE_SQL = """WITH r AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') doc_id, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) n, event_type v FROM events),
 g AS (SELECT doc_id, v, count(*) c, min(n) f FROM r WHERE n <= 50 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) k FROM g)
 """
@@ -341,9 +361,13 @@ def event_readings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.concat_ws("-", "user_id", day).alias("doc_id"), no.alias("page_no"), F.col("event_type").alias("value"))
 
 
-@query(VOTE_SQL + "SELECT doc_id, v AS majority, c AS votes, CASE WHEN c >= 2 THEN v ELSE '' END AS agreed FROM b WHERE k = 1")
+@query(MARK_SQL)
 def q_consensus(spark, d):
-    return V.consensus(event_readings(spark, d))
+    doc = F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd"))
+    word, m = F.upper("event_type"), F.col("event_id") % 3
+    value = F.when(m == 0, F.translate(word, "CS", "ÇŞ")).when(m == 1, F.translate(word, "OS", "ÖŞ")).otherwise(word)
+    rows = table(spark, d, "events").select(doc.alias("doc_id"), "ts", "event_id", value.alias("value"))
+    return V.consensus(rows.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "event_id"))))
 
 
 @query(VOTE_SQL + ", f AS (SELECT doc_id, v first, c, k FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY f) = 1), x AS (SELECT f.doc_id, first = b.v AS same, b.c >= 2 AS two FROM f JOIN b ON f.doc_id = b.doc_id AND b.k = 1) SELECT count(*) AS n_docs, count(*) FILTER (same) AS first_is_majority, count(*) FILTER (two) AS n_agreed FROM x")
@@ -400,11 +424,21 @@ def q_person_index(spark, d):
     return rows.select("key", F.size("r").cast("long").alias("n_records"), F.array_join("r", ",").alias("records"))
 
 
-@query("WITH n AS (SELECT DISTINCT regexp_replace(upper(translate(p_name, 'l', 'I')), '[^A-Z]', '', 'g') f FROM part), q AS (SELECT f AS k, CASE WHEN ascii(f) % 3 = 0 THEN substr(f, 2) WHEN ascii(f) % 3 = 1 THEN f || 'X' ELSE f END AS name FROM n), d AS (SELECT q.name, n.f, levenshtein(q.name, n.f) d FROM q JOIN n ON levenshtein(q.name, n.f) <= 2), b AS (SELECT *, min(d) OVER (PARTITION BY name) m FROM d) SELECT name, min(f) AS key, CAST(min(d) AS BIGINT) AS distance, count(*) > 1 AS ambiguous FROM b WHERE d = m GROUP BY name")
+# Names as written (a lower-case l stays one) against keys; some keys and names have few letters.
+SUGGEST_SQL = """WITH n AS (SELECT DISTINCT p_name FROM part), k AS (SELECT upper(replace(p_name, ' ', '_')) AS key FROM n UNION SELECT 'ABC' UNION SELECT 'AB'),
+g AS (SELECT key, regexp_replace(translate(key, '_', ''), '[^A-Z]', '', 'g') g FROM k),
+q AS (SELECT CASE ascii(p_name) % 3 WHEN 0 THEN substr(p_name, 2) WHEN 1 THEN p_name || 'x' ELSE p_name END AS name FROM n UNION SELECT 'abcde' UNION SELECT 'abc' UNION SELECT 'abxy'),
+f AS (SELECT name, regexp_replace(upper(name), '[^A-Z]', '', 'g') f FROM q), d AS (SELECT name, key, levenshtein(f, g) d FROM f JOIN g ON length(f) >= 5 AND levenshtein(f, g) <= 2), b AS (SELECT *, min(d) OVER (PARTITION BY name) m FROM d)
+SELECT name, min(key) AS key, CAST(min(d) AS BIGINT) AS distance, count(*) > 1 AS ambiguous FROM b WHERE d = m GROUP BY name"""
+
+
+@query(SUGGEST_SQL)
 def q_person_suggest(spark, d):
-    index = table(spark, d, "part").select(T.fold(F.col("p_name")).alias("key")).distinct()
-    code = F.ascii("key") % 3
-    names = index.select(F.when(code == 0, F.expr("substring(key, 2)")).when(code == 1, F.concat("key", F.lit("X"))).otherwise(F.col("key")).alias("name"))
+    own = table(spark, d, "part").select("p_name").distinct()
+    few = lambda *v: spark.createDataFrame([(x,) for x in v], "x string")
+    index = own.select(F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("key")).union(few("ABC", "AB"))
+    code = F.ascii("p_name") % 3
+    names = own.select(F.when(code == 0, F.expr("substring(p_name, 2)")).when(code == 1, F.concat("p_name", F.lit("x"))).otherwise(F.col("p_name")).alias("name")).union(few("abcde", "abc", "abxy"))
     return G.suggest_person(names, index).withColumn("distance", F.col("distance").cast("long"))
 
 
@@ -476,14 +510,16 @@ def q_exclusion(spark, d):
 
 
 def placed_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the first 40 of each line with boxes: ten points a line down, six a letter across."""
-    lines = line_pages(spark, d).select("doc_id", F.floor((F.col("page_no") - 1) / 40).cast("int").alias("page_no"), (F.col("page_no") % 40).alias("line"), F.posexplode(F.slice(F.split("page_text", " "), 1, 40)).alias("k", "word"))
-    x0 = F.coalesce(F.sum(F.length("word") * 6 + 6).over(Window.partitionBy("doc_id", "page_no", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    words = lines.withColumn("x0", x0).withColumn("x1", F.col("x0") + F.length("word") * 6).withColumn("y0", F.col("line") * 10.0).withColumn("y1", F.col("line") * 10.0 + 8)
-    return words.withColumn("word_no", F.col("line") * 100 + F.col("k")).select("doc_id", "page_no", "word_no", "x0", "y0", "x1", "y1", "word")
+    """All words of documents with boxes: twelve to a row, forty rows to a page; a line of text goes on in the next row."""
+    lines = line_pages(spark, d).withColumn("w", F.split("page_text", " "))
+    rows = F.coalesce(F.sum(F.ceil(F.size("w") / 12)).over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = lines.withColumn("r", rows).select("doc_id", "r", F.posexplode("w").alias("k", "word"))
+    words = words.withColumn("row", F.col("r") + F.floor(F.col("k") / 12)).withColumn("page_no", F.floor(F.col("row") / 40).cast("int"))
+    x0, y0 = (F.col("k") % 12 * 45).cast("double"), (F.col("row") % 40 * 10).cast("double")
+    return words.select("doc_id", "page_no", (F.col("row") * 12 + F.col("k") % 12).alias("word_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 8).alias("y1"), "word")
 
 
-@query(PAGES_SQL + ", w AS (SELECT doc_id, page_no, least(len(string_split(page_text, ' ')), 40) n FROM p) SELECT doc_id, CAST(sum(n * n) AS BIGINT) AS n_pairs FROM w GROUP BY doc_id")
+@query(PAGES_SQL + ", w AS (SELECT doc_id, len(string_split(page_text, ' ')) n FROM p) SELECT doc_id, CAST(sum((n // 12) * 144 + (n % 12) * (n % 12)) AS BIGINT) AS n_pairs FROM w GROUP BY doc_id")
 def q_same_line(spark, d):
     from folio.operators.layout import same_line
 
@@ -498,11 +534,11 @@ def _labelled(spark, d):
     return rows.select("doc_id", F.lit(1).alias("page_no"), F.col("k").alias("word_no"), "x.x0", F.lit(20.0).alias("y0"), "x.x1", F.lit(30.0).alias("y1"), F.col("x.w").alias("word"))
 
 
-@query("SELECT doc_id, 'AYŞE' || translate(CAST(doc_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' DEMİR' END AS value FROM documents")
+@query("SELECT doc_id, 'AYŞE' || translate(CAST(doc_id AS VARCHAR), '0123456789', 'ABCDEFGHIJ') || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' DEMİR' END AS value, CAST(62 AS DOUBLE) AS x0, CAST(CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 150 END AS DOUBLE) AS x1 FROM documents")
 def q_label_value(spark, d):
     from folio.operators.layout import label_values
 
-    return label_values(_labelled(spark, d), "ADISOYADI").select("doc_id", "value")
+    return label_values(_labelled(spark, d), "ADISOYADI").select("doc_id", "value", "box.x0", "box.x1")
 
 
 @query("SELECT doc_id, CAST(10 AS DOUBLE) AS x0, CAST(60 AS DOUBLE) AS x1 FROM documents")
@@ -530,8 +566,12 @@ def q_first_seen(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from folio import case_queries  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from folio import case_queries  # noqa: F401
+
     return dict(SQL)

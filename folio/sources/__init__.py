@@ -12,9 +12,24 @@ def scan_files(spark: SparkSession, folder: str, recursive: bool = True, any_cas
     return found.select(F.sha2("path", 256).alias("doc_id"), F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("file_sha256"), "content")
 
 
-def numbered(files: DataFrame) -> DataFrame:
-    """Column seq in order of the path: one row per file, without its content, in one window."""
-    return files.drop("content").withColumn("seq", F.row_number().over(Window.orderBy("source_path")))
+#: Ranges of an order that rows are numbered in.
+RANGES = 128
+
+
+def numbered(files: DataFrame, order: str = "source_path") -> DataFrame:
+    """Column seq from 1 in the order of a column that isn't null; equal values are numbered in any order.
+
+    Some values, chosen by hash, cut the order into ranges; a range's first number is the
+    count of the rows before it, so no task gets all rows.
+    """
+    rows = files.drop("content")
+    bounds = sorted(r[0] for r in rows.select(order).distinct().orderBy(F.xxhash64(order), order).limit(RANGES - 1).collect())
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    rows = rows.withColumn("_range", place)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # RANGES rows at most
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return rows.join(F.broadcast(first), "_range").withColumn("seq", (F.col("_first") + number).cast("int")).drop("_range", "_first")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +47,3 @@ def read_json_map(spark: SparkSession, path: str, value: str = "map<string,strin
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
-
-def decode_pages(files: DataFrame) -> DataFrame:
-    """pages(doc_id, page_no, page_text) by an optional PDF decoder, which each task imports; raises if there is none."""
-
-    def rows(batches):
-        import pandas as pd
-        import pymupdf
-
-        for pdf in batches:
-            out = [(d, k + 1, page.get_text()) for d, c in zip(pdf["doc_id"], pdf["content"], strict=True) for k, page in enumerate(pymupdf.open(stream=bytes(c), filetype="pdf"))]
-            yield pd.DataFrame(out, columns=["doc_id", "page_no", "page_text"])
-
-    return files.select("doc_id", "content").mapInPandas(rows, "doc_id string, page_no int, page_text string")

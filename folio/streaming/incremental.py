@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,14 +15,32 @@ def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def drop_known(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """A stream without rows whose keys have come before; the checkpoint keeps the keys for good."""
+    """A stream without rows whose keys have come before; the checkpoint keeps all keys for good, so this is for key sets that stay small. ``run_batches`` needs no such state."""
     return stream.dropDuplicates(keys)
 
 
-def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Plan all files that have arrived and stop; each batch goes to a folder of its own, so a batch that runs again after a failure replaces itself."""
+def processed_before(spark: SparkSession, target: str, number: int) -> DataFrame | None:
+    """What earlier batches wrote below ``target``; None if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(target).where(F.col("batch") < number)
+    except AnalysisException:  # nothing is there yet
+        return None
+
+
+def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
+    """Plan all files that have arrived and stop; each batch goes to a folder of its own, so a batch that runs again after a failure replaces itself.
+
+    With ``keys`` a batch's rows whose keys (not null) an earlier batch wrote, or that repeat within it, are dropped first: an
+    anti join with the written table, which is the only state.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        if keys:
+            known = processed_before(batch.sparkSession, target, number)
+            batch = batch.dropDuplicates(keys)
+            batch = batch if known is None else batch.join(known, keys, "left_anti")
         plan(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -34,3 +52,14 @@ def fill_gaps(fields: DataFrame, field: str, reader, schema: str) -> DataFrame:
     read = empty.select("doc_id").mapInPandas(reader, schema).withColumnRenamed("value", "_read")
     filled = empty.join(read, "doc_id", "left").withColumn(field, F.coalesce(F.col("_read"), F.lit(""))).drop("_read")
     return fields.where(F.coalesce(F.col(field), F.lit("")) != "").unionByName(filled)
+
+
+def reading_key(prompt: Column, image: Column) -> Column:
+    """The key under which a reading of an image is kept: the first 32 hex digits of a hash of both."""
+    return F.substring(F.sha2(F.concat(prompt.cast("binary"), image), 256), 1, 32)
+
+
+def read_once(wanted: DataFrame, cache: DataFrame, reader, schema: str) -> DataFrame:
+    """Rows (key, value) for ``wanted``, from the cache where it has them; only the other keys, once each, reach the reader (a mapInPandas function of wanted's columns)."""
+    new = wanted.join(cache, "key", "left_anti").dropDuplicates(["key"])
+    return cache.join(wanted.select("key").distinct(), "key", "left_semi").select("key", "value").unionByName(new.mapInPandas(reader, schema).select("key", "value"))

@@ -1,18 +1,22 @@
 """Rules on hand-made rows."""
 
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from folio.functions import registry_numbers as R
 from folio.functions import text as T
+from folio.operators import extraction as X
 from folio.operators import layout as L
 from folio.operators import pages as P
 from folio.operators import registry as G
 from folio.operators import votes as V
 from folio.plans.flagship import apply_plan
 from folio.sources import numbered, read_csv, read_json_map, scan_files, write_csv
-from folio.streaming.incremental import drop_known, fill_gaps, run_batches
+from folio.operators.archive import write_state
+from folio.streaming.incremental import drop_known, fill_gaps, read_once, run_batches
 
 
 def col(spark, f, values):
@@ -34,7 +38,10 @@ def test_registry_numbers(spark):
 def test_names(spark):
     assert col(spark, T.plausible_name, ["AYŞE DEMİR", "A1", "", None, "a b c d e", "12345678"]) == [True, False, False, False, False, False]
     assert col(spark, T.fold, ["T.C. Kimlik No", "Adı Soyıdı"]) == ["TCKIMIIKNO", "ADISOYIDI"]
-    assert col(spark, T.slug, ["  Ayşe  NUR_Demir ", "__"]) == ["ayse_nur_demir", ""]
+    assert col(spark, T.slug, ["  Ayşe  NUR_Demir ", "__", "João Žižka", "Ş\u0327ahin ²"]) == ["ayse_nur_demir", "", "joao_zizka", "sahin_2"]
+    assert col(spark, T.plausible_name, ["Иван Петров", "ŞÜKRÜ", "Ana Žižka"]) == [False, True, True]
+    assert col(spark, T.clean_reading, [": yok", "YOK.", "- Ali  veli\nx", ""]) == ["", "YOK", "ALİ VELİ", ""]
+    assert col(spark, G.content_key, ["x" * 200 + " \n", "x" * 199]) == [hashlib.sha256(b"x" * 200).hexdigest(), ""]
 
 
 def test_marks_and_similarity(spark):
@@ -74,12 +81,62 @@ def test_layout(spark):
     page = [(10, 28, 20, "Adı"), (30, 60, 20, "Soyadı"), (62, 64, 20, ":"), (70, 120, 20, "AYŞE"), (125, 160, 20, "DEMİR"), (300, 340, 20, "Tarih"), (10, 40, 60, "T.C."), (42, 70, 60, "Kimlik"), (72, 80, 60, "No"), (90, 150, 60, "10000000146"), (10, 60, 90, "Müdür")]
     w = words(spark, page)
     pages = spark.createDataFrame([("d", 1, "DN47789 32/47789")], "doc_id string, page_no int, page_text string")
-    got = L.extract(pages, w).first()
+    got = X.extract(pages, w).first()
     assert (got.name, got.national_id, got.registry_no, got.warning) == ("AYŞE DEMİR", "10000000146", "47789", "")
-    roles = spark.createDataFrame([("MUDUR",)], "stem string")
-    assert L.label_boxes(w, L.NAME_LABEL).count() == 1
-    near = words(spark, [*page[:3], (10, 60, 50, "Müdür")])
-    assert L.label_boxes(near, L.NAME_LABEL, roles).count() == 0
+    count = lambda rows, stems=L.OFFICIAL_STEMS: L.label_boxes(words(spark, rows), L.NAME_LABEL, stems).count()
+    assert count(page) == 0 and count(page, ()) == 1  # the official stands 60 points below
+    assert count([*page[:3], (10, 60, 96, "Müdür")]) == 1 and count([*page[:3], (181, 220, 50, "Müdür")]) == 1
+    assert count([*page[:3], (10, 60, 50, "SicilMemuru")]) == 0
+    assert [tuple(r.box) for r in L.label_values(w, L.NAME_LABEL).collect()] == [(62.0, 20.0, 160.0, 30.0)]
+
+
+def test_extract_looks_at_the_first_number_page_first(spark):
+    rows = [(page, x0, y, w) for page, name in ((1, "VELİ. KAYA"), (3, "ALİ DEMİR")) for x0, y, w in [(10, 20, "Adı"), (30, 20, "Soyadı"), *((70 + 40 * k, 20, w) for k, w in enumerate(name.split()))]]
+    w = spark.createDataFrame([("d", p, k, float(x), float(y), x + 20.0, y + 10.0, t) for k, (p, x, y, t) in enumerate(rows)], "doc_id string, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string")
+    pages = spark.createDataFrame([("d", 1, ""), ("d", 2, "DN12345"), ("d", 3, "DN12345"), ("e", 1, None)], "doc_id string, page_no int, page_text string")
+    got = {r.doc_id: r for r in X.extract(pages, w).collect()}
+    assert (got["d"].name, got["d"].name_page) == ("VELİ KAYA", 1)
+    assert (got["e"].name, got["e"].national_id, got["e"].warnings) == ("", "", ["not found", "id not found", "name not found"])
+
+
+def test_same_line_matches_every_pair(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [("d", k % 2, k, 0.0, y, 1.0, y + h, "w") for k in range(150) for y, h in [(r.uniform(0, 200), r.choice([0.0, 3.0, 9.0, 40.0]))]]
+    w = spark.createDataFrame(rows, "doc_id string, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, word string")
+    inside = lambda a, b: b[4] < (a[4] + a[6]) / 2 < b[6]
+    want = sorted((a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and (inside(a, b) or inside(b, a)))
+    assert sorted((x.a.word_no, x.b.word_no) for x in L.same_line(w).collect()) == want
+
+
+def test_files_are_numbered_in_order(spark):
+    import random
+
+    paths = [f"/in/{k:04d}" for k in range(1000)]
+    shuffled = random.Random(1).sample(paths, len(paths))
+    got = numbered(spark.createDataFrame([(p, b"") for p in shuffled], "source_path string, content binary").repartition(3))
+    assert [(r.source_path, r.seq) for r in got.orderBy("seq").collect()] == [(p, k + 1) for k, p in enumerate(paths)]
+    assert numbered(spark.createDataFrame([], "source_path string, content binary")).collect() == []
+
+
+def test_readings_are_kept(spark):
+    def reader(batches):
+        for pdf in batches:
+            assert set(pdf["key"]) <= {"b"}
+            yield pd.DataFrame({"key": pdf["key"], "value": "read"})
+
+    wanted = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "key string, page int")
+    cache = spark.createDataFrame([("a", "kept"), ("z", "other")], "key string, value string")
+    assert {r.key: r.value for r in read_once(wanted, cache, reader, "key string, value string").collect()} == {"a": "kept", "b": "read"}
+
+
+def test_state_is_written_once(spark, tmp_path):
+    actions = spark.createDataFrame([(1, "archive"), (2, "skipped")], "doc_id int, kind string")
+    write_state({"actions": actions, "pending": actions}, str(tmp_path / "state"))
+    assert sorted(p.name for p in (tmp_path / "state/actions").glob("kind=*")) == ["kind=archive", "kind=skipped"]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        write_state({"actions": actions}, str(tmp_path / "state"))
 
 
 def test_sources_plan_and_stream(spark, tmp_path):
@@ -104,6 +161,11 @@ def test_sources_plan_and_stream(spark, tmp_path):
     stream = spark.readStream.schema("seq int, hash string").parquet(str(tmp_path / "land"))
     run_batches(drop_known(stream, ["hash"]), lambda b: b, str(tmp_path / "done"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "done")).count() == 2
+    for k in range(2):  # a second run sees more files; what was written is the only state
+        again = spark.readStream.schema("seq int, hash string").parquet(str(tmp_path / "land"))
+        run_batches(again, lambda b: b, str(tmp_path / "done2"), str(tmp_path / "ck2"), ["hash"]).awaitTermination()
+        spark.createDataFrame([(4, "h"), (5, "new")], "seq int, hash string").write.mode("append").parquet(str(tmp_path / "land"))
+    assert sorted(r.hash for r in spark.read.parquet(str(tmp_path / "done2")).collect()) == ["g", "h", "new"]
 
 
 def test_gap_fill_reads_only_empty_fields(spark):
@@ -124,3 +186,30 @@ def test_upsert_lineage_suggest(spark):
     index = spark.createDataFrame([("AHMETYILDIZ",), ("AHMETYILDAN",)], "key string")
     got = G.suggest_person(spark.createDataFrame([("AHMET YILDAR",), ("ALI",)], "name string"), index).collect()
     assert [(r.key, r.distance, r.ambiguous) for r in got] == [("AHMETYILDAN", 1, False)]
+    index = spark.createDataFrame([("ALI_VELIOGLU",), ("ABC",), ("AB",)], "key string")
+    got = G.suggest_person(spark.createDataFrame([("Ali Velioglu",), ("ABCDE",), ("ABC",)], "name string"), index).collect()
+    assert {r.name: (r.key, r.distance) for r in got} == {"Ali Velioglu": ("ALI_VELIOGLU", 0), "ABCDE": ("ABC", 2)}
+
+
+def test_suggestions_match_every_pair(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("ABC") for _ in range(r.randrange(3, 11)))
+    names, keys = {word() for _ in range(60)}, {word() for _ in range(60)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for n in names:
+        near = sorted((distance(n, k), k) for k in keys)
+        if len(n) >= 5 and near[0][0] <= 2:
+            want[n] = (near[0][1], near[0][0], sum(d == near[0][0] for d, _ in near) > 1)
+    got = G.suggest_person(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert {x.name: (x.key, x.distance, x.ambiguous) for x in got.collect()} == want
