@@ -184,8 +184,8 @@ def q_needed_readings(spark, d):
 # Names recur among parts; every 23rd row has the text of the row before, every 29th is known from an earlier run.
 ACTION_SQL = """WITH p AS (SELECT p_partkey k, regexp_replace(lower(p_name), '[ ]+', '_', 'g') slug, p_name, CASE WHEN p_partkey % 23 = 0 THEN p_partkey - 1 ELSE p_partkey END h FROM part),
 a AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'error' WHEN k % 13 = 0 THEN 'unrelated' WHEN k % 11 = 0 THEN CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'split' ELSE 'manual split' END ELSE 'plan' END k0 FROM p),
-f AS (SELECT a.*, min(k) OVER (PARTITION BY h) first FROM a),
-b AS (SELECT *, CASE WHEN k0 <> 'plan' THEN k0 WHEN k % 29 = 0 OR k > first THEN 'skipped' WHEN k % 17 = 0 THEN 'unreadable' WHEN k % 3 = 0 THEN 'verify' ELSE 'archive' END kind FROM f),
+f AS (SELECT a.*, min(k) FILTER (k0 <> 'plan' OR k % 29 <> 0) OVER (PARTITION BY h) first FROM a),
+b AS (SELECT *, CASE WHEN k0 <> 'plan' THEN k0 WHEN k % 29 = 0 OR coalesce(k > first, false) THEN 'skipped' WHEN k % 17 = 0 THEN 'unreadable' WHEN k % 3 = 0 THEN 'verify' ELSE 'archive' END kind FROM f),
 g AS (SELECT k, slug, row_number() OVER (PARTITION BY slug ORDER BY k) + CASE WHEN slug = (SELECT min(slug) FROM p) THEN 1 ELSE 0 END r FROM b WHERE kind IN ('archive', 'verify')),
 t AS (SELECT b.*, CASE WHEN kind IN ('archive', 'verify') THEN g.slug || CASE WHEN r = 1 THEN '' ELSE '_' || r END || '.pdf' ELSE 'scan' || b.k || '.pdf' END file FROM b LEFT JOIN g USING (k)),
 x AS (SELECT t.k, t.p_name, t.h, t.kind, CASE WHEN t.kind = 'skipped' THEN NULL WHEN t.kind = 'split' THEN 'split/original/' || t.file ELSE t.kind || '/' || t.file END AS target,

@@ -44,7 +44,9 @@ def plan_actions(docs: DataFrame, processed: DataFrame, used: DataFrame, strict:
     rows = docs.withColumn("kind", kind).withColumn("_key", F.coalesce(F.nullif("text_hash", F.lit("")), F.nullif("file_hash", F.lit("")), F.concat(F.lit("row:"), F.col("seq").cast("string"))))
     known = processed.groupBy("hash").agg(F.min("target").alias("t"))
     rows = rows.join(known.select(c("hash").alias("file_hash"), c("t").alias("_t1")), "file_hash", "left").join(known.select(c("hash").alias("text_hash"), c("t").alias("_t2")), "text_hash", "left")
-    rows = rows.join(rows.groupBy("_key").agg(F.min("seq").alias("_first")), "_key").withColumn("_before", F.coalesce("_t1", "_t2"))
+    rows = rows.withColumn("_before", F.coalesce("_t1", "_t2"))
+    marks = (c("kind") != "plan") | c("_before").isNull()  # what is known already is skipped and marks nothing
+    rows = rows.join(rows.groupBy("_key").agg(F.min(F.when(marks, c("seq"))).alias("_first")), "_key")
     rows = rows.withColumn("_slug", slug(strip(c("name"))))
     planned = F.when(c("_before").isNotNull() | (c("seq") > c("_first")), "skipped").when(c("_slug") == "", "unreadable").when(F.lit(strict) & (c("agreement") < 2), "verify").otherwise("archive")
     rows = rows.withColumn("kind", F.when(c("kind") == "plan", planned).otherwise(c("kind")))
