@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,17 @@ def work_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_scratch", default=None)
+
+
+def materialize(df: DataFrame, scratch: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Within ``scratch_tables`` the folder goes at its end, unless ``scratch`` is false.
+    """
     spark, path = df.sparkSession, work_dir(df.sparkSession)
+    if scratch and (own := _scratch.get()) is not None:
+        own.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -47,14 +58,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these, once nothing reads it any more."""
     for df in written:
         for file in df.inputFiles()[:1]:
-            folder = file.rsplit("/", 1)[0]
-            if "/folio-" in folder:
-                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            if "/folio-" in (folder := file.rsplit("/", 1)[0]):
+                delete(df.sparkSession, folder)
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``materialize`` wrote meanwhile; a frame that still reads it must have been written by then."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for path in _scratch.get():
+            delete(spark, path)
+        _scratch.reset(token)
 
 
 #: Rows of an Arrow batch of texts. A batch stands in memory several times over, in the executor and in its Python worker.

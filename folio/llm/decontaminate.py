@@ -72,24 +72,19 @@ def _item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256 and contaminated for each document.
+def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with a text's two hashes, ``KEY``, as columns."""
+    return docs.withColumn("k1", F.xxhash64(text_col)).withColumn("k2", F.xxhash64(F.lit(1), text_col))
 
-    A word is hit if it lies in any occurrence of a window. Null and empty texts have no
-    words and no hits; items without words or id match nothing; an empty benchmark leaves
-    every document clean. Items with equal words are joined as one class, whose ids are
-    then listed; an id that several items have is listed once. Every row is a document of its
-    own, whatever its id: ids may be null or repeat, and copies of a text get the same hits.
-    Texts of any length are read whole. Other columns, whatever their names, are ignored.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
+
+def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(k1, k2, n_hit, ids) of the texts that hold a window, from rows (k1, k2, text)."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
     items = items.groupBy("w").agg(F.collect_set("item").alias("ids")).withColumn("class", F.xxhash64("w"))
     items = materialize(items)
     lengths = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect())  # ten values at most
-    rows = docs.select("id", *KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if not lengths:
-        return rows.select(F.col("id").alias(id_col), "n_words", *_outcome(None))
+        return docs.sparkSession.createDataFrame([], "k1 long, k2 long, n_hit long, ids array<string>")
 
     marked, prints = docs.select(*KEY, words(F.col("text")).alias("w")), []
     for n in lengths:
@@ -107,24 +102,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         own = with_grams(with_grams(near, "a", n), "b", n, 1)
         at.append(own.select(*KEY, F.posexplode_outer(F.arrays_zip("a", "b")).alias("pos", "x")).where("pos is not null").select(*KEY, "pos", "x.a", "x.b", F.lit(n).alias("n")))
     known = broadcast_if_small(windows.select("a", "b", "n").distinct())
-    hits = materialize(reduce(DataFrame.unionByName, at).join(known, ["a", "b", "n"], "left_semi").distinct())
+    found = materialize(reduce(DataFrame.unionByName, at).join(known, ["a", "b", "n"], "left_semi").distinct())
 
     before = Window.partitionBy(*KEY).orderBy("pos", "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("pos") + F.col("n")
-    covered = hits.select(*KEY, "pos", "n").distinct().withColumn("from", F.greatest(F.col("pos"), F.coalesce(F.max(end).over(before), F.lit(0))))
-    covered = covered.groupBy(*KEY).agg(F.sum(F.greatest(end - F.col("from"), F.lit(0))).alias("n_hit"))
-    classes = hits.select(*KEY, "a", "b", "n").distinct().join(broadcast_if_small(windows), ["a", "b", "n"]).select(*KEY, "class").distinct()
+    covered = found.select(*KEY, "pos", "n").distinct().withColumn("from", F.greatest(F.col("pos"), F.coalesce(F.max(end).over(before), F.lit(0))))
+    covered = covered.groupBy(*KEY).agg(F.sum(F.greatest(end - F.col("from"), F.lit(0))).cast("long").alias("n_hit"))
+    classes = found.select(*KEY, "a", "b", "n").distinct().join(broadcast_if_small(windows), ["a", "b", "n"]).select(*KEY, "class").distinct()
     ids = classes.join(items.select("class", F.explode("ids").alias("item")), "class").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("ids"))
-    found = materialize(covered.join(ids, KEY))
-    return rows.join(broadcast_if_small(found), KEY, "left").select(F.col("id").alias(id_col), "n_words", *_outcome("ids"))
-
-
-def _outcome(ids: str | None) -> list[Column]:
-    ids = F.coalesce(F.col(ids), F.expr("cast(array() as array<string>)")) if ids else None
-    n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long") if ids is not None else F.lit(0).cast("long")
-    return [
-        n_hit.alias("n_hit"),
-        (F.size(ids) if ids is not None else F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",") if ids is not None else F.lit(""), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
-    ]
+    return materialize(covered.join(ids, KEY))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """id, n_words, n_hit, n_items, items_sha256 and contaminated for each document.
+
+    A word is hit if it lies in any occurrence of a window. Null and empty texts have no
+    words and no hits; items without words or id match nothing; an empty benchmark leaves
+    every document clean. Items with equal words are joined as one class, whose ids are
+    then listed; an id that several items have is listed once. Every row is a document of its
+    own, whatever its id: ids may be null or repeat, and copies of a text get the same hits.
+    Texts of any length are read whole. Other columns, whatever their names, are ignored.
+    """
+    docs = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    found = hits(docs, benchmark, item_col, item_text_col)
+    rows = docs.select("id", *KEY, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return rows.join(broadcast_if_small(found), KEY, "left").select(F.col("id").alias(id_col), "n_words", *_outcome())
+
+
+def _outcome() -> list[Column]:
+    ids, n_hit = F.coalesce("ids", F.expr("cast(array() as array<string>)")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return [n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")]

@@ -76,11 +76,14 @@ def _distances(fp):
 
 def links(fps: DataFrame) -> DataFrame:
     """Linked pairs (u, v) of the distinct fingerprints in column fp, enough of them that whatever is linked is connected."""
-    table = fps.select("fp", _distances(F.col("fp")).alias("d"))
+    # A row becomes 15 keys and 33 distances, so the few MB of fingerprints are spread over all tasks first.
+    tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.sparkSession.sparkContext.defaultParallelism)
+    table = fps.repartition(tasks).select("fp", _distances(F.col("fp")).alias("d"))
     coordinates = F.transform(F.slice("d", 2, BLOCKS), lambda x: F.col("d")[0] - x)
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.slice("c", GROUPS[g][0] + 1, GROUPS[g][1]) for g in chosen)) for k, chosen in enumerate(combinations(range(6), 4))))
     keyed = table.select("fp", coordinates.alias("c")).select("fp", F.explode(keys).alias("key"))
-    keyed = materialize(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    keyed = materialize(keyed)
+    keyed = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     small, large = keyed.where(F.col("n") <= BUCKET), keyed.where(F.col("n") > BUCKET).select("fp").distinct()
     x, y = small.select("key", F.col("fp").alias("u")), small.select("key", F.col("fp").alias("v"))
     far = F.greatest(*(F.abs(F.bit_count(F.col("u").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("v").bitwiseXOR(F.lit(p)))) for p in PIVOTS))
@@ -116,12 +119,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id, the least id linked through any chain.
 
-    Texts without words have fingerprint zero and link like others; texts of one or two
-    words are one shingle. Rows without an id take no part and aren't returned; rows that
-    repeat an id come back as often. Other columns are ignored.
+    Texts without words, null ones too, have fingerprint zero and link like others; texts of one or two
+    words are one shingle; texts of any length are read whole. Rows with a null id take part and are returned; their
+    component_id is null if no row of their group has an id. Rows that
+    repeat an id come back as often, each with the group of its own text. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    found = materialize(simhashes(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    classes = found.groupBy("fp").agg(F.min("id").alias("least"))
+    found = materialize(simhashes(docs, id_col, text_col))
+    classes = materialize(found.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

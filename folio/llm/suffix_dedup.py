@@ -228,18 +228,30 @@ def _results(with_text: bool):
     return rows
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows (id, text, rest) with an id of their own for each text where ids are null or repeat: their place in the order of id (null last) and the text's hash."""
+    odd = docs.groupBy("id").count().where("count > 1 or id is null")
+    if odd.isEmpty():
+        return docs
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    order = docs.select("id", "h").distinct().orderBy(F.asc_nulls_last("id"), "h")
+    numbers = materialize(docs.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "i long, g long, place long"))
+    return docs.join(numbers, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select(F.col("place").alias("id"), "text", "rest")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a string of 100 bytes that also starts earlier.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept``: the
     bytes left, as text (a character of which a byte went is left out; null stays null).
-    Null and empty texts have no bytes; texts under 100 bytes lose nothing. Rows without
-    an id take no part and aren't returned. Rows that repeat an id count as one document
+    Null and empty texts have no bytes; texts under 100 bytes lose nothing; texts of any length are worked off in blocks that
+    overlap. Rows with a null id come after all others; different texts of one id go by their hashes. Rows with equal id and text count as one document
     at one place: neither removes the other, and both come back. The columns ``keep`` come
-    back too; others are ignored.
+    back too; others, whatever their names, are ignored. An empty table gives no rows.
     """
-    extra = F.struct(*keep) if keep else F.lit(True)
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), extra.alias("rest")).where("id is not null")
+    own = F.col(id_col).cast("long")
+    extra = F.struct(own.alias("_id"), *keep or [])
+    docs = _placed(small_batches(docs).select(own.alias("id"), F.col(text_col).cast("string").alias("text"), extra.alias("rest")))
     runs = docs.select("id", "text").mapInArrow(_run_rows, "id long, off int, n short, a long, b long, seen boolean")
     placed = Window.partitionBy("a", "b").orderBy("id", "off")
     marked = (
@@ -258,4 +270,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"id long, rest {docs.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     empty = F.expr("cast(array() as array<struct<off:int,n:smallint>>)")
     done = docs.join(gone, "id", "left").select("id", "text", F.coalesce("runs", empty).alias("runs"), "rest").mapInArrow(_results(with_text), schema)
-    return done.select(F.col("id").alias(id_col), *(F.col(f"rest.{c}") for c in keep or []), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+    return done.select(F.col("rest._id").alias(id_col), *(F.col(f"rest.{c}") for c in keep or []), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)

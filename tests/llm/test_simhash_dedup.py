@@ -46,9 +46,16 @@ def test_documents_match_brute_force(spark):
     fps = {i: plain(t) for i, t in docs}
     df = spark.createDataFrame([*docs, docs[9], (None, "x")], "doc_id long, text string").repartition(3)
     rows = near_duplicates(df).collect()
-    assert len(rows) == len(docs) + 1
-    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{f:016x}" for i, f in fps.items()}
-    assert {r.doc_id: r.component_id for r in rows} == groups(fps)
+    assert len(rows) == len(docs) + 2
+    assert {r.doc_id: r.fingerprint for r in rows if r.doc_id is not None} == {i: f"{f:016x}" for i, f in fps.items()}
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == groups(fps)
+    assert [r.fingerprint for r in rows if r.doc_id is None] == [f"{plain('x'):016x}"]
+
+
+def test_null_and_repeated_ids(spark):
+    docs = [(None, "a text of its own"), (None, "a text of its own"), (None, "copied words stay"), (7, "copied words stay"), (7, "another thing"), (4, "another thing")]
+    rows = near_duplicates(spark.createDataFrame([(*d, "f") for d in docs], "doc_id long, text string, fingerprint string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("4", "4"), ("7", "4"), ("7", "7"), ("None", "7"), ("None", "None"), ("None", "None")]
 
 
 @pytest.mark.parametrize("bucket", [32, 2])

@@ -74,5 +74,9 @@ def test_empty_repeated_and_null(spark):
     assert remove_repeats(spark.createDataFrame([], schema)).collect() == []
     text = "".join(random.Random(5).choices("abcdefghij", k=300))
     rows = remove_repeats(spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], schema), with_text=True).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in rows) == [(1, 0), (1, 0), (2, 300)]
-    assert {r.kept for r in rows if r.doc_id == 2} == {""}
+    assert sorted(((r.doc_id, r.n_removed) for r in rows), key=str) == [(1, 0), (1, 0), (2, 300), (None, 300)]
+    assert {r.kept for r in rows if r.doc_id != 1} == {""}
+    first, second = "".join(random.Random(6).choices("abcdef", k=200)), "".join(random.Random(7).choices("abcdef", k=150))
+    docs = [(5, first), (5, second), (None, first + second), (None, None), (3, second + "tail"), (None, first + second)]
+    rows = remove_repeats(spark.createDataFrame([(*d, "x") for d in docs], schema + ", kept string"), with_text=True, keep=["kept"]).select("doc_id", "n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(3, 154, 0), (5, 200, 0), (5, 150, 150), (None, 350, 350), (None, 350, 350), (None, 0, 0)], key=str)
