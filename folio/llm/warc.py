@@ -88,24 +88,35 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def _members(content: bytes):
+    """(bytes, error) of each gzip member that isn't empty. After a broken one the next start of a member is looked for."""
     at = 0
     while at < len(content):
-        unzip = zlib.decompressobj(31)
-        data = unzip.decompress(content[at : at + (1 << 20)])
-        at += min(1 << 20, len(content) - at)
-        while not unzip.eof and at < len(content):
-            data += unzip.decompress(content[at : at + (1 << 20)])
-            at += min(1 << 20, len(content) - at)
-        at -= len(unzip.unused_data)
-        if data:
-            yield data
-
-
-def _fields(record: bytes) -> tuple[dict[str, str], bytes]:
+        unzip, data, begin = zlib.decompressobj(31), [], at
+        try:
+            while not unzip.eof and at < len(content):
+                data.append(unzip.decompress(content[at : at + (1 << 20)]))
+                at += min(1 << 20, len(content) - at)
+            at -= len(unzip.unused_data)
+            if not unzip.eof:
+                yield b"", "cut member"
+            elif any(data):
+                yield b"".join(data), None
+        except zlib.error:
+            yield b"", "broken member"
+            following = content.find(b"\x1f\x8b\x08", begin + 1)
+            at = following if following > 0 else len(content)
+
+
+def _fields(record: bytes) -> tuple[dict[str, str], bytes, str | None]:
+    """Header fields, block, and what is wrong with the record."""
     head, _, rest = record.partition(b"\r\n\r\n")
     pairs = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
     fields = {k.lower(): v.strip() for k, _, v in pairs}
-    return fields, rest[: int(fields["content-length"])]
+    numbers = [fields.get("content-length", ""), fields.get("warc-segment-number", "1"), fields.get("warc-segment-total-length", "0")]
+    if not all(n.isascii() and n.isdigit() for n in numbers):
+        return fields, b"", "bad header"
+    size = int(numbers[0])
+    return fields, rest[:size], None if len(rest) >= size else "cut record"
 
 
 def _decoded(block: bytes, total: int) -> tuple[bytes | None, str | None]:
@@ -133,9 +144,13 @@ def _read(cut: bool):
         for pdf in batches:
             for content in pdf["content"]:
                 out, held = [], 0
-                for record in _members(bytes(content)):
-                    f, block = _fields(record)
+                for record, error in _members(bytes(content)):
+                    f, block, wrong = _fields(record) if error is None else ({}, b"", error)
                     get = f.get
+                    if wrong is not None:
+                        if not cut:
+                            out.append(("unreadable", bare(get("warc-record-id")), get("warc-target-uri"), None, None, None, wrong, None))
+                        continue
                     if cut != ("warc-segment-number" in f) or get("warc-type") not in ("response", "revisit", "continuation"):
                         continue
                     rest = (int(get("warc-segment-number")), int(get("warc-segment-total-length", 0)), block) if cut else _found(get("warc-type"), block, 0)
@@ -165,7 +180,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Continuation records are grouped by their origin, ordered by segment number and held
     against the total length; a missing segment or broken chunk gives a null payload and
-    an error. A file is read whole by one task, as Spark's binaryFile reader does, so
+    an error, and a null kind if the first one is missing. Cut or broken members and records without a right length have kind unreadable
+    and an error. Archives are read twice: whole records need no shuffle, segments do. A file is read whole by one task, as Spark's binaryFile reader does, so
     archives should be cut to some hundred MB.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -183,7 +199,8 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write pages to archives in the shared folder, read them back, and say what was found: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit's size is that of the record it refers to, its digest its own. Null html is
-    an empty payload; a null id comes back as null; rows that repeat an id come back as often.
+    an empty payload; payloads of any length are written whole. A null id comes back as null; rows that repeat an id come back as often;
+    other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     path = work_dir(pages.sparkSession)
     write_archives(pages, path, id_col, url_col, html_col)

@@ -39,3 +39,27 @@ def test_broken_segments_and_framing(spark):
     payload, error = w._decoded(block, len(block) + 1)
     assert payload is None and "bytes" in error
     assert w.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_malformed_archives_are_read(spark, tmp_path):
+    part = lambda kind, own, block, **more: w._record(kind, own, block, **more)
+    block = w.HTTP + w.chunked(b"y" * 30_000)
+    records = [
+        part("response", "urn:page:1", block[:9000], Segment_Number=1),
+        part("continuation", "urn:page:1:3", block[18_000:], Segment_Number=3, Segment_Origin_ID="<urn:page:1>", Segment_Total_Length=len(block)),  # the second one is missing
+        part("continuation", "urn:page:2:2", block[9000:], Segment_Number=2, Segment_Origin_ID="<urn:page:2>", Segment_Total_Length=len(block)),
+        part("continuation", "urn:page:3:2", block[9000:], Segment_Number=2, Segment_Origin_ID="<urn:page:3>", Segment_Total_Length=len(block)),
+        part("response", "urn:page:3", block[:9000], Segment_Number=1),
+        gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:4>\r\n\r\nno length"),
+        gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 99\r\n\r\nshort"),
+        b"\x1f\x8b\x08" + b"\xff" * 20,
+        part("response", "urn:page:6", w.HTTP + w.chunked(b"fine")),
+        part("response", "urn:page:7", block)[:40],
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    got = {(r.kind, r.record_id): (r.payload and bytes(r.payload), r.error) for r in w.read_archives(spark, str(tmp_path)).collect()}
+    assert got["response", "urn:page:1"][0] is None and "bytes" in got["response", "urn:page:1"][1]
+    assert got[None, "urn:page:2"][0] is None and got["response", "urn:page:3"] == (b"y" * 30_000, None)
+    assert got["unreadable", "urn:page:4"] == (None, "bad header") and got["unreadable", "urn:page:5"] == (None, "cut record")
+    assert got["response", "urn:page:6"] == (b"fine", None)
+    assert {e for (k, i), (_, e) in got.items() if k == "unreadable" and i is None} <= {"broken member", "cut member"}
