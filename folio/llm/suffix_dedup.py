@@ -252,6 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = F.col(id_col).cast("long")
     extra = F.struct(own.alias("_id"), *keep or [])
     docs = _placed(small_batches(docs).select(own.alias("id"), F.col(text_col).cast("string").alias("text"), extra.alias("rest")))
+    docs = docs.where("id is not null")  # which they are; else only one of the joins below would ask for it, and they'd not share their shuffle
     runs = docs.select("id", "text").mapInArrow(_run_rows, "id long, off int, n short, a long, b long, seen boolean")
     placed = Window.partitionBy("a", "b").orderBy("id", "off")
     marked = (
