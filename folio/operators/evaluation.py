@@ -1,4 +1,8 @@
-"""Results against hand-made truth, and seeded samples."""
+"""Results against hand-made truth, and seeded samples.
+
+Null and empty values are missing ones. Samples go by a hash of the id and the seed, equal hashes by id; a sample larger
+than the table is the table.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Layout rules over positioned words (doc_id, page_no, word_no, x0, y0, x1, y1, word)."""
+"""Layout rules over positioned words (doc_id, page_no, word_no, x0, y0, x1, y1, word).
+
+word_no is unique on a page and settles ties. Words with a null coordinate are on no line; null words have no letters.
+Pages without words have no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Pages of documents: statistics, blank pages, ownership, blocks, split plans, page editing."""
+"""Pages of documents: statistics, blank pages, ownership, blocks, split plans, page editing.
+
+Page numbers are unique in a document. Null texts count as empty, a null owner is no owner, and rows with a null
+doc_id form a document of their own; a document without pages has no rows, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

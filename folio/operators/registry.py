@@ -1,4 +1,8 @@
-"""Deciding, deduplicating, naming and keeping track of documents."""
+"""Deciding, deduplicating, naming and keeping track of documents.
+
+Missing values are empty strings. seq is unique; of equal contents the least seq is kept. Rows without a key (null) are
+duplicates of none. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ def content_key(text: Column) -> Column:
 
 
 def mark_duplicates(files: DataFrame) -> DataFrame:
-    """Column duplicate: an earlier file (by seq) has the same text, or the same bytes where there is too little text."""
-    key = F.coalesce(F.nullif(F.col("text_hash"), F.lit("")), F.col("file_hash"))
+    """Column duplicate: an earlier file (by seq) has the same text, or the same bytes where there is too little text; a file without any hash is none."""
+    key = F.coalesce(F.nullif(F.col("text_hash"), F.lit("")), F.col("file_hash"), F.concat(F.lit("seq:"), F.col("seq").cast("string")))
     keyed = files.withColumn("key", key)
     first = keyed.groupBy("key").agg(F.min("seq").alias("kept"))
     return keyed.join(first, "key").withColumn("duplicate", F.col("seq") > F.col("kept")).drop("key")

@@ -1,4 +1,7 @@
-"""Votes over repeated readings of one field, and merging of two sources."""
+"""Votes over repeated readings of one field, and merging of two sources.
+
+Null and empty readings don't vote; a document without any has no row. Readings of equal page number vote in any order.
+"""
 
 from __future__ import annotations
 
