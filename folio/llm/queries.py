@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, hilbert_ann, html_text, langid, license_scan, mixing, partial_distance, quality_lm, simhash_dedup, suffix_dedup, token_counts, warc
+from folio.llm import decontaminate, hilbert_ann, html_text, langid, license_scan, mixing, partial_distance, quality_lm, simhash_dedup, spelling, suffix_dedup, token_counts, warc
 from folio.llm.common import read_table
 
 
@@ -51,6 +51,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_language_id, op2_warc, op3_decontaminate, op4_token_counts, op5_suffix_dedup, op6_quality, op7_mixing, op8_html_text, op9_nearest, op10_simhash_dedup]
-    return {f.__name__: f for f in [*found, op12_license_scan, op13_partial_distance]}
+    return {f.__name__: f for f in [*found, op11_spelling, op12_license_scan, op13_partial_distance]}
 
 
 # ---- DuckDB SQL of the queries that SQL can express ------------------------------------------
@@ -109,4 +113,4 @@ SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN extra OR (p >
 
 def oracle_sql() -> dict[str, str]:
     """Hashes (op10), trained scores (op1, op6), page trees (op8), recurrences (op4) and approximate neighbours (op9) have none."""
-    return {"op2_warc": SQL2, "op3_decontaminate": SQL3, "op5_suffix_dedup": SQL5, "op7_mixing": SQL7, "op12_license_scan": license_scan.sql(), "op13_partial_distance": partial_distance.sql()}
+    return {"op2_warc": SQL2, "op3_decontaminate": SQL3, "op5_suffix_dedup": SQL5, "op7_mixing": SQL7, "op11_spelling": spelling.SQL, "op12_license_scan": license_scan.sql(), "op13_partial_distance": partial_distance.sql()}
