@@ -6,8 +6,10 @@ the page's article (or of the whole page without one) outside the element, so th
 page, and copies with some block changed, count once; subtrees with at least ``SHARE`` of a host's
 contents, and ``LEAST_PAGES`` at least, or with ``MANY_PAGES`` whatever their share, are
 the site's template and go from each page. What HTML itself names as beside the text goes too: nav,
-header, footer, aside, forms, scripts, styles, and elements whose class, id or role has a
-word like ad, cookie, sidebar or comments. If the page has an article (or main) element,
+header, footer, aside, menus, forms, scripts, styles, and elements whose class, id or role has a
+name like ad, cookie-banner, sidebar or comments. A name with other words in it (no-sidebar,
+ad-free, comments-open) is none of these, and no name counts on an article or main, on what holds one, or
+on a page's text as a whole. If the page has an article (or main) element,
 its content is the text; words that may also mark a part of the text, like related or
 notice, don't count on a paragraph or heading of it, and neither they nor the template empty it.
 """
@@ -33,14 +35,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "legend", "li", "optgroup", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr", "figcaption"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BESIDE = frozenset("nav header footer aside form script style template iframe svg button select input textarea dialog menu head title".split())
+BESIDE = frozenset("nav header footer aside form script style template iframe menu head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BESIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising comment comments cookie cookies consent disqus gdpr nav navbar navigation newsletter promo sidebar sponsor sponsored subscribe subscription".split())
+#: Words that may stand beside those in a hyphenated name without changing what it means.
+SHAPES = frozenset("area bar block body bottom box button buttons container content form group inner item items left link links list main mobile outer panel primary right row section site slot small text thread top unit widget widgets wrap wrapper".split())
 MAYBE_BESIDE = frozenset("banner breadcrumb breadcrumbs footer header masthead menu notice notices popup modal promoted promotion related recommended share sharing social side toolbar widget reply replies respond".split())
+NAMED = BESIDE_WORDS | MAYBE_BESIDE | SHAPES
 #: Elements that hold a text's own words.
 OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b i em strong a span code q cite".split())
 #: A comment or declaration, or a tag with its name and attributes; a quote matters only right after an equals sign.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?|[^>=])*+)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?|[^>=])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s]*)))?")
 RAW_TEXT = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 NOTHING: frozenset = frozenset()
@@ -54,7 +59,7 @@ class Page:
     """
 
     def __init__(self, source: str):
-        self.tag, self.beside, self.maybe, self.parent = ["html"], [False], [False], [-1]
+        self.tag, self.beside, self.named, self.maybe, self.parent = ["html"], [False], [False], [False], [-1]
         self.events: list[tuple[int, str | None]] = []  # element and its text, or None at a block's edge
         self.open = [0]
         at = 0
@@ -95,8 +100,9 @@ class Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        beside, maybe = self._named_beside(attributes) if attributes else (False, False)
-        self.beside.append(beside or tag in BESIDE)
+        named, maybe = self._named_beside(attributes) if attributes else (False, False)
+        self.beside.append(tag in BESIDE)
+        self.named.append(named)
         self.maybe.append(maybe)
         if tag in BLOCKS:
             self.events.append((node, None))
@@ -110,9 +116,14 @@ class Page:
         beside = maybe = False
         for m in ATTRIBUTE.finditer(attributes):
             if (name := m[1].lower()) in ("class", "id", "role"):
-                words = re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower())
-                beside |= not (ROLES if name == "role" else BESIDE_WORDS).isdisjoint(words)
-                maybe |= name != "role" and not MAYBE_BESIDE.isdisjoint(words)
+                for own in (m[2] or m[3] or m[4] or "").lower().split():
+                    if name == "role":
+                        beside |= own in ROLES
+                        continue
+                    words = {w for w in re.split(r"[_-]+", own) if w and not w.isdigit()}
+                    if words <= NAMED:
+                        beside |= not BESIDE_WORDS.isdisjoint(words)
+                        maybe |= not MAYBE_BESIDE.isdisjoint(words)
         return beside, maybe
 
     def _end(self, tags, stop):
@@ -146,6 +157,23 @@ class Page:
             out[n] |= out[self.parent[n]]
         return out
 
+    def whole(self) -> list[bool]:
+        """Whether each element is or holds an article or main; on a page without any, whether it has most of the words beside scripts, styles, menus and the like."""
+        out = [t in ("article", "main") for t in self.tag]
+        if not any(out):
+            words, beside = [0] * len(self.tag), self.beside[:]
+            for n in range(1, len(self.tag)):
+                beside[n] |= beside[self.parent[n]]
+            for node, text in self.events:
+                if text is not None and not beside[node]:
+                    words[node] += len(text.split())
+            for n in range(len(self.tag) - 1, 0, -1):
+                words[self.parent[n]] += words[n]
+            return [2 * w > words[0] for w in words]
+        for n in range(len(self.tag) - 1, 0, -1):
+            out[self.parent[n]] |= out[n]
+        return out
+
     def contents(self, hashes: list[int]) -> tuple[int, list[int]]:
         """The longest block of the page's articles, or of the whole page if none has text; and for each element the longest one outside it."""
         inside = self.inside()
@@ -168,14 +196,15 @@ class Page:
 
     def text(self, template) -> str:
         """Blocks of the page's article, or of the whole page, without what is beside the text and the template's subtrees."""
-        inside = self.inside()
+        inside, whole = self.inside(), self.whole()
         hashes = self.hashes() if template else ()
 
         def blocks(maybe: bool, template) -> str:
             gone = [False] * len(self.tag)
             for n in range(1, len(self.tag)):
-                own = self.beside[n] and not (self.tag[n] == "header" and inside[n])
-                own |= maybe and self.maybe[n] and not (inside[n] and self.tag[n] in OF_TEXT) and not (self.tag[n] == "header" and inside[n])
+                title = self.tag[n] == "header" and inside[n]
+                own = self.beside[n] and not title or self.named[n] and not whole[n]
+                own |= maybe and self.maybe[n] and not whole[n] and not title and not (inside[n] and self.tag[n] in OF_TEXT)
                 gone[n] = gone[self.parent[n]] or own or bool(template) and self.tag[n] not in KEPT and hashes[n] in template
             article = any(inside[n] and not gone[n] for n, t in self.events if t is not None and not t.isspace())
             if any(inside) and not article and (maybe or template):
@@ -232,7 +261,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Null and empty pages have an empty text; pages without a host in their url have no
     template. Pages of any length are read whole. A subtree on exactly half of a host's contents, or on exactly
     ``LEAST_PAGES`` or ``MANY_PAGES``, is template. Ids may be null; rows that repeat an id or a page come back as
-    often and count once as content. Other columns, whatever their names, are ignored.
+    often and count once as content. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))

@@ -72,3 +72,59 @@ def test_nothing_of_the_article_is_lost_by_a_word():
     assert Page('<article><p>Text</p><div class="related"><p>More to read</p></div></article>').text(frozenset()) == "Text"
     assert Page("<article><p>Text</p><noscript><p>plain</p></noscript><object><p>inner</p></object><canvas>drawn</canvas></article>").text(frozenset()) == "Text\nplain\ninner\ndrawn"
     assert Page('<article><header class="header"><h1>Head</h1></header><p>Text</p></article>').text(frozenset()) == "Head\nText"
+
+
+def text_of(source):
+    return Page(source).text(frozenset())
+
+
+def test_names_do_not_decide_on_the_article_or_what_holds_it():
+    for source in ('<article class="post comments-open"><p>Own</p></article>', '<div class="has-sidebar"><article><p>Own</p></article></div>', '<main class="content no-sidebar"><p>Own</p></main>', '<body class="sidebar ad"><div id="comments"><main><p>Own</p></main></div></body>'):
+        assert text_of(source) == "Own", source
+    assert text_of('<article><p class="ad-free">One</p><p id="comment-on-law">Two</p><p>Three</p></article>') == "One\nTwo\nThree"
+    assert text_of('<div class="social-history"><p>All of a page without an article</p></div>') == "All of a page without an article"
+    assert text_of('<div class="sidebar"><p>Most of the words of a page without an article</p></div><p>Few words</p>') == "Most of the words of a page without an article\nFew words"
+    assert text_of('<p>The text of the page</p><div class="comment-list"><p>Nice</p></div>') == "The text of the page"
+
+
+def test_names_made_of_words_beside_the_text_go():
+    for name in ("ad", "ad-box", "ads_1", "cookie-banner", "comment-list", "site-nav", "sidebar-left", "main-menu", "newsletter-form", "box ad"):
+        assert text_of(f'<article><p>Own</p><div class="{name}"><p>Beside</p></div></article>') == "Own", name
+    for tag in ("menu", "form", "aside", "nav", "footer", "script", "style"):
+        assert text_of(f"<article><p>Own</p><{tag}>Beside</{tag}></article>") == "Own", tag
+    assert text_of('<article><p>Own</p><div role="navigation">Beside</div></article>') == "Own"
+
+
+def test_elements_that_are_no_forms_stay():
+    assert text_of("<article><p>see <button>press</button> ok</p><dialog>said</dialog><svg><text>drawn</text></svg></article>") == "see press ok\nsaid\ndrawn"
+
+
+def test_comments_end_where_html_ends_them():
+    assert text_of("a<!--> b --> c") == "a b --> c"
+    assert text_of("a<!---> b") == "a b" and text_of("a<!-- x --!> b") == "a b" and text_of("a<!-- - -> x --> b") == "a b"
+
+
+def test_templates_are_those_of_a_plain_count(spark):
+    """Subtrees by host against a count over distinct contents in plain Python."""
+    import random
+    from collections import defaultdict
+
+    from folio.llm.html_text import LEAST_PAGES, MANY_PAGES, SHARE, templates
+
+    rng, rows = random.Random(8), []
+    for host in range(6):
+        menus = [f"<nav><p>Menu {host} {i}</p></nav>" for i in range(3)]
+        for i in range(rng.choice([4, 12, 40, 260])):
+            body = "".join(rng.choice(menus + [f"<div><p>Shared {k}</p></div>" for k in range(4)]) for _ in range(3))
+            rows.append((f"h{host}", f"<body>{body}<article><p>Own words number {rng.randrange(200)} {host}</p></article></body>"))
+    seen, contents = defaultdict(set), defaultdict(set)
+    for host, source in rows:
+        page = Page(source)
+        hashes = page.hashes()
+        own, outside = page.contents(hashes)
+        contents[host].add(own)
+        for h, c in zip(hashes, outside):
+            seen[host, h].add(c)
+    want = {(host, h) for (host, h), c in seen.items() if h and len(c) >= LEAST_PAGES and (len(c) >= SHARE * len(contents[host]) or len(c) >= MANY_PAGES)}
+    got = {tuple(r) for r in templates(spark.createDataFrame(rows, "host string, html string")).collect()}
+    assert got == want and want
