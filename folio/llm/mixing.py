@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null and empty texts have no words and give none; texts of any length count whole. A null source is a source of its
     own, the last. Ids may be null; rows that repeat an id share one random number, and equal rows come back as often, each
-    one a document. Equal ranks go by id, then size. An empty table gives
+    one a document; the last place goes to one of them. Equal ranks go by id, then size. An empty table gives
     no rows. Equal ids and texts give equal results on every run. Other columns, whatever their names, are ignored.
     """
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u"))
@@ -95,13 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = rows.where("slice = edge").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("extra", (F.col("upto") <= F.col("missing")) & (F.col("p") > 0))
     outside = rows.where("edge is null or slice <> edge").withColumn("upto", F.lit(None).cast("long")).withColumn("extra", F.coalesce(F.col("slice") < F.col("edge"), F.lit(False)) & (F.col("p") > 0))
-    rows = materialize(inside.unionByName(outside))
+    rows = materialize(inside.unionByName(outside).withColumn("no", F.monotonically_increasing_id()))  # tells equal rows apart, once written
 
     reached = rows.where("extra").groupBy("source").agg(F.sum("size").alias("got")).select(F.col("source").alias("s"), "got")
     left = goals.join(reached, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("gap"))
     gap = F.abs(F.col("size") - F.col("gap"))
     last = rows.where("not extra and p > 0").join(broadcast_if_small(left), F.col("source").eqNullSafe(F.col("s"))).where(gap < F.col("gap"))
-    last = last.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.col("key"), F.col("id"))).alias("x")).select(F.col("source").alias("s"), F.col("x.id").alias("last"))
+    last = last.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "id", "size", "no")).alias("x")).select(F.col("source").alias("s"), F.col("x.no").alias("last"))
     rows = rows.join(broadcast_if_small(last), F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.col("whole") + (F.col("extra") | F.coalesce((F.col("id") == F.col("last")) & (F.col("p") > 0), F.lit(False))).cast("long")
+    copies = F.col("whole") + (F.col("extra") | F.coalesce(F.col("no") == F.col("last"), F.lit(False))).cast("long")
     return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))

@@ -94,7 +94,7 @@ b AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 k AS (SELECT doc_id, count(*) FILTER (gone) n_removed, count(*) FILTER (first) n_spans, sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) kept_sha256 FROM b GROUP BY doc_id)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
-SQL7 = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size, (CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS UBIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) u FROM documents),
+SQL7 = r"""WITH d AS (SELECT row_number() OVER () no, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) size, (CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS UBIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END w FROM d GROUP BY source),
 l AS (SELECT *, 2 * source_size most, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) - CAST(coalesce(sum(2 * source_size) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / sum(w) OVER (ORDER BY CAST(2 * source_size AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) level FROM s),
 t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), max(level) OVER () * w) target FROM l),
@@ -107,8 +107,8 @@ k AS (SELECT e.*, p, (u / (1 - u)) / (p / (1 - p)) rank FROM e JOIN p ON e.sourc
 r AS (SELECT k.*, CASE WHEN p > 0 THEN rank / (1 + rank) ELSE 1 END AS key FROM k),
 o AS (SELECT r.*, source_size, target, whole, missing, sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= missing AND p > 0 AS extra FROM r JOIN goals ON r.source IS NOT DISTINCT FROM goals.source),
 q AS (SELECT *, missing - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) gap FROM o),
-x AS (SELECT source, min(struct_pack(a := abs(size - gap), b := key, c := doc_id)).c AS last FROM q WHERE NOT extra AND p > 0 AND abs(size - gap) < gap GROUP BY source)
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN extra OR (p > 0 AND coalesce(doc_id = last, false)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source"""
+x AS (SELECT source, min(struct_pack(a := abs(size - gap), b := key, c := doc_id, d := size, e := no)).e AS last FROM q WHERE NOT extra AND p > 0 AND abs(size - gap) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN extra OR (p > 0 AND coalesce(no = last, false)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,3 +112,22 @@ def test_chances_are_unequal_and_kept(spark):
         p = f + f * (1 - f) * (2 * middle[n] - 1)
         own = [x.taken / n - whole for x in rows if x["size"] == n]
         assert abs(sum(own) / len(own) - p) < 4 * math.sqrt(p * (1 - p) / len(own)), (n, p)
+
+
+def test_targets_are_met_where_ids_repeat_or_are_null(spark):
+    """Operator and SQL: the last place is one row's, whatever others have its id."""
+    import duckdb
+
+    from folio.llm.queries import SQL7
+
+    r = random.Random(12)
+    docs = [(r.choice([1, 2, 3, None]), "w " * r.choice([3, 20, 21, 40]), r.choice(["a", "a", "b", "c"])) for _ in range(2500)]
+    rows = mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)).drop("source").collect()
+    for target in {x.target for x in rows}:
+        assert abs(sum(x.taken for x in rows if x.target == target) - target) <= 40
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", docs)
+    names = ["doc_id", "size", "source_size", "taken"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({SQL7})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(x[n] for n in names)) for x in rows)
