@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import strip
+from folio.functions.text import normalize, strip
+from folio.operators.votes import same_person
 
 # Characters of a text page, of a blank page, of an attachment, and the limits of a white page.
 TEXT_CHARS, BLANK_CHARS, ATTACHMENT_CHARS = 100, 20, 40
 LETTERS = "ABCDEFGH"
+# Fixed value: what stands before a name that is a page's owner for want of an id.
+BY_NAME = "isim:"
 
 
 def n_chars(text: Column) -> Column:
@@ -66,20 +69,43 @@ def owner_letters(pages: DataFrame, primary: Column | None = None) -> DataFrame:
     return pages.join(letters, ["doc_id", "owner"], "left").withColumn("letter", F.coalesce("letter", F.lit("?")))
 
 
-def split_plan(pages: DataFrame, primary: str | Column = "A") -> DataFrame:
+def name_owners(pages: DataFrame, primary: str | Column, primary_name: str | Column) -> DataFrame:
+    """Owners by name where ids give none: pages have owner, page_kind and name (normalised; null and empty ones count for nothing).
+
+    Attachments take their owners first. Of the pages still without one that have a name and aren't suspicious, those named like
+    the primary person are that person's; the first other name is the second person, and pages named like
+    it get this name as owner. Names are alike by ``votes.same_person``. A document without a primary name stays as it is.
+    """
+    who, name = (F.lit(x) if isinstance(x, str) else x for x in (primary, primary_name))
+    whole = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = fill_owners(pages.withColumn("_who", who).withColumn("_first", normalize(F.coalesce(name, F.lit("")))))
+    open_ = F.col("filled").isNull() & (F.col("page_kind") != "suspicious") & (F.col("name") != "") & (F.col("_first") != "")
+    rows = rows.withColumn("_open", F.when(open_, F.col("name")))
+    rows = rows.withColumn("_is_first", same_person("_open", F.when(F.col("_open").isNotNull(), F.col("_first"))))
+    rows = rows.withColumn("_second", F.first(F.when(~F.col("_is_first"), F.col("_open")), True).over(whole))
+    second = F.when(F.col("_is_first"), F.lit(False)).otherwise(same_person(F.when(~F.col("_is_first"), F.col("_open")), "_second"))
+    owner = F.coalesce("filled", F.when(F.col("_is_first"), F.col("_who")).when(second, F.concat(F.lit(BY_NAME), "_second")))
+    return rows.withColumn("owner", owner).drop("filled", "_who", "_first", "_open", "_is_first", "_second")
+
+
+def split_plan(pages: DataFrame, primary: str | Column = "A", primary_name: str | Column | None = None) -> DataFrame:
     """map, second, n_blocks, splittable and reason of each document from pages with owner and page_kind.
 
     The map is the one after attachments have taken their owners. A suspicious page stops
     the split, and so does the lack of a second person; else it takes exactly
     two blocks, one of the primary person and one of the second (the first other in page order).
+    With a primary name, and a column name, names are a second signal (``name_owners``); the second person may then be ``isim:`` and a name.
     """
     who = F.lit(primary) if isinstance(primary, str) else primary
+    named = primary_name is not None
+    pages = name_owners(pages, who, primary_name) if named else pages
     w = Window.partitionBy("doc_id").orderBy("page_no")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = F.coalesce(F.last("owner", True).over(back), F.first("owner", True).over(ahead))
     rows = pages.withColumn("_primary", who).withColumn("_near", near)
-    rows = rows.withColumn("_own", F.when(F.col("owner").isNotNull() | (F.col("page_kind") == "attachment"), F.col("_near")))
+    takes = F.lit(False) if named else F.col("page_kind") == "attachment"  # by names, attachments have taken theirs already
+    rows = rows.withColumn("_own", F.when(F.col("owner").isNotNull() | takes, F.col("_near")))
     other = lambda c: F.when(F.col(c) != F.col("_primary"), F.col(c))
     rows = rows.withColumn("_second", F.first(other("_own"), True).over(whole))
     rows = rows.withColumn("_who", F.when(F.col("_near") == F.col("_primary"), "A").when(F.col("_near") == F.col("_second"), "B").otherwise("?"))
@@ -96,6 +122,21 @@ def split_plan(pages: DataFrame, primary: str | Column = "A") -> DataFrame:
     return plan.select("doc_id", "map", "second", "n_blocks", (reason == "").alias("splittable"), reason.alias("reason"))
 
 
+def document_analysis(fields: DataFrame, multi: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, name, national_id, registry_no, multi, primary, and the split plan's map, second, splittable and reason.
+
+    fields is what extraction or reconciliation gives, multi has doc_id and multi, pages what ``split_plan`` reads. Only documents of several
+    people with an id or a name are planned: by their id, or else by ``isim:`` and the normalised name; the others' plan is null. Moves no file.
+    """
+    by_name = F.when(F.col("name") != "", F.concat(F.lit(BY_NAME), normalize(F.col("name"))))
+    several = F.coalesce("multi", F.lit(False))
+    rows = fields.select("doc_id", "name", "national_id", "registry_no").join(multi.select("doc_id", "multi"), "doc_id", "left").withColumn("multi", several)
+    rows = rows.withColumn("primary", F.when(F.col("multi"), F.coalesce(F.nullif("national_id", F.lit("")), by_name)))
+    wanted = rows.where("primary is not null").select("doc_id", "primary", F.col("name").alias("_primary_name"))
+    plan = split_plan(pages.select("doc_id", "page_no", "owner", "page_kind", "name").join(wanted, "doc_id"), F.col("primary"), F.col("_primary_name"))
+    return rows.join(plan.select("doc_id", "map", "second", "splittable", "reason"), "doc_id", "left")
+
+
 def plan_json(pages: DataFrame, plan: DataFrame, primary: Column) -> DataFrame:
     """(doc_id, plan): a split plan as JSON, with each page's number, owner letter, suggestion and id.
 

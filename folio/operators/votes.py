@@ -10,11 +10,12 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from folio.functions.text import MARKED, UNMARKED, fold, merge_spelling, normalize, unmark
 
-READINGS, AGREED = 50, 2
+# Readings that vote, votes that agree, and the ratio from which two names are one person's.
+READINGS, AGREED, SAME = 50, 2, 0.88
 _PLAIN = str.maketrans(MARKED, UNMARKED)
 
 
@@ -52,10 +53,20 @@ def transfer_marks(read: pd.Series, ocr: pd.Series) -> pd.Series:
     return pd.Series([one(a or "", b or "") for a, b in zip(read, ocr, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching runs of two names; 0.88 and more is the same person."""
-    return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+@F.pandas_udf(BooleanType())
+def same_person(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two names' ratio of matching runs is ``SAME`` at least; false if either is null or empty. A batch compares each different pair once."""
+    known: dict[tuple[str, str], bool] = {}
+
+    def one(x: str | None, y: str | None) -> bool:
+        if not x or not y:
+            return False
+        if (x, y) not in known:
+            m = difflib.SequenceMatcher(None, x, y)
+            known[x, y] = m.real_quick_ratio() >= SAME and m.quick_ratio() >= SAME and m.ratio() >= SAME  # the first two are upper bounds
+        return known[x, y]
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def merge_names(df: DataFrame, read: str, ocr: str) -> DataFrame:

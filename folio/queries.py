@@ -566,12 +566,12 @@ def q_first_seen(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from folio import case_queries  # noqa: F401  adds its own
+    from folio import case_queries, work_queries  # noqa: F401  they add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from folio import case_queries  # noqa: F401
+    from folio import case_queries, work_queries  # noqa: F401
 
     return dict(SQL)
