@@ -12,8 +12,9 @@ each offset would move a hundred times the input, so Spark sorts sampled positio
    ``anchor`` bytes in it (leftmost of equals). The choice depends on the window's bytes
    alone, so equal windows have equal anchors. Windows next to each other that share an
    anchor form a run, one row.
-2. Spark sorts runs by (anchor name, run name). A run whose anchor name is unique is
-   unique and leaves; a run whose pair occurs earlier is repeated as a whole.
+2. Spark counts anchor names. A run whose anchor name is unique is unique and leaves; the
+   others are sorted by (anchor name, run name), and one whose pair occurs earlier is
+   repeated as a whole.
 3. Of the first runs of pairs, those that share an anchor with another pair go on: their
    windows are sorted by (anchor name, window name), and a window that isn't the first of
    its pair is repeated.
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import materialize, small_batches
+from folio.llm.common import discard, materialize, small_batches
 
 ANCHOR = 48
 LENGTH = 100
 #: Bytes that are named at a time, and bits of a key that hold a position in such a block.
 BLOCK, BITS = 1 << 19, 24
+#: Ranges in which texts without an id of their own are numbered.
+RANGES = 128
 U = np.uint64
 
 
@@ -234,8 +237,12 @@ def _placed(docs: DataFrame) -> DataFrame:
     if odd.isEmpty():
         return docs
     docs = docs.withColumn("h", F.xxhash64("text"))
-    order = docs.select("id", "h").distinct().orderBy(F.asc_nulls_last("id"), "h")
-    numbers = materialize(docs.sparkSession.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), "i long, g long, place long"))
+    order = [F.asc_nulls_last("id"), F.asc("h")]
+    ranged = materialize(docs.select("id", "h").distinct().repartitionByRange(RANGES, *order).withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")  # ``RANGES`` rows at most
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    numbers = materialize(ranged.join(F.broadcast(starts), "range").select(F.col("id").alias("i"), F.col("h").alias("g"), place.alias("place")))
     return docs.join(numbers, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select(F.col("place").alias("id"), "text", "rest")
 
 
@@ -255,14 +262,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.where("id is not null")  # which they are; else only one of the joins below would ask for it, and they'd not share their shuffle
     runs = docs.select("id", "text").mapInArrow(_run_rows, "id long, off int, n short, a long, b long, seen boolean")
     placed = Window.partitionBy("a", "b").orderBy("id", "off")
+    # No task gets all runs of an anchor: what anchors have in common is summed up before it is shuffled, and joined back.
+    anchors = runs.where("not seen").groupBy("a").agg(F.count("*").alias("c"), (F.min("b") != F.max("b")).alias("kinds"))
+    anchors = materialize(anchors.where("c > 1").select("a", "kinds"))
     marked = (
-        runs.repartition("a")  # serves both windows
+        runs.join(anchors, "a", "left")
+        .where("seen or kinds is not null")
         .withColumn("rank", F.rank().over(placed))
-        .withColumn("kinds", F.max(F.when(~F.col("seen"), F.col("b"))).over(Window.partitionBy("a")) != F.min(F.when(~F.col("seen"), F.col("b"))).over(Window.partitionBy("a")))
         .select("id", "off", "n", "a", (F.col("seen") | (F.col("rank") > 1)).alias("whole"), "kinds")
         .where("whole or kinds")
     )
     marked = materialize(marked)
+    discard(anchors)
     open_runs = marked.where("not whole").groupBy("id").agg(F.collect_list(F.struct("off", "n", "a")).alias("runs"))
     # The windows' rows keep the same columns as the results' below, so both joins share one shuffle of the texts.
     windows = docs.join(open_runs, "id").select("id", "text", "runs", "rest").mapInArrow(_window_rows, "id long, off int, a long, b long, seen boolean")

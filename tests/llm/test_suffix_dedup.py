@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -80,3 +81,23 @@ def test_empty_repeated_and_null(spark):
     docs = [(5, first), (5, second), (None, first + second), (None, None), (3, second + "tail"), (None, first + second)]
     rows = remove_repeats(spark.createDataFrame([(*d, "x") for d in docs], schema + ", kept string"), with_text=True, keep=["kept"]).select("doc_id", "n_bytes", "n_removed").collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(3, 154, 0), (5, 200, 0), (5, 150, 150), (None, 350, 350), (None, 350, 350), (None, 0, 0)], key=str)
+
+
+def test_a_shared_phrase_is_no_one_task(spark, monkeypatch):
+    """3,000 texts that share a phrase of 70 bytes and nothing else: its runs are never shuffled to one task."""
+    import folio.llm.suffix_dedup as s
+
+    r = random.Random(6)
+    phrase = "the phrase that all of these texts have in common, of seventy bytes..."
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    docs = [(i, " ".join([*(word() for _ in range(12)), phrase, *(word() for _ in range(12))])) for i in range(3000)]
+    written, write = [], s.materialize
+    monkeypatch.setattr(s, "materialize", lambda df: written.append((df, write(df))) or written[-1][1])
+    monkeypatch.setattr(s, "discard", lambda *tables: None)
+    rows = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert sum(x.n_removed for x in rows) == 0 and len(rows) == 3000
+    (_, anchors), (plan, marked) = written
+    assert marked.groupBy("a").count().agg({"count": "max"}).first()[0] > 1000  # one anchor has the phrase's runs
+    assert anchors.where("kinds").count() < 200
+    windows = re.findall(r"windowspecdefinition\((\w+)#\w+, (\w+)#", plan._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and set(windows) == {("a", "b")}  # rows meet by anchor and run, which no two texts here share
