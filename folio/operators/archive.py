@@ -7,11 +7,11 @@ person_index(key, name, national_id, registry_no). Nothing is written before ``w
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import person_key, slug, strip
+from folio.operators import naming
 from folio.operators.registry import allocate_names
 
 # The order in which folders are searched for a file.
@@ -104,26 +104,6 @@ def find_files(names: DataFrame, files: DataFrame, processed: DataFrame) -> Data
     return names.select("name").distinct().join(best, "name", "left").select("name", "b.folder", "b.file")
 
 
-def _queue_names(events: pd.DataFrame) -> pd.DataFrame:
-    """Names in order of seq: a file first gives up its own name, then takes the first free one."""
-    taken, next_number, out = set(), {}, []
-    for seq, step, name in events.sort_values(["seq", "step"])[["seq", "step", "name"]].itertuples(index=False):
-        if step == 0:
-            taken.discard(name)
-            next_number.clear()
-        else:
-            free = name
-            if free in taken:
-                k = next_number.get(name, 2)
-                while (free := f"{name}_{k}") in taken:
-                    k += 1
-                next_number[name] = k + 1
-            taken.add(free)
-            if step == 1:
-                out.append((seq, free))
-    return pd.DataFrame(out, columns=["seq", "given"])
-
-
 def verify_merge(checked: DataFrame, pending: DataFrame, processed: DataFrame, queue: DataFrame, used: DataFrame, fields: DataFrame) -> DataFrame:
     """What a person's check of the queue changes: seq, file, original, kind, target and record.
 
@@ -137,11 +117,10 @@ def verify_merge(checked: DataFrame, pending: DataFrame, processed: DataFrame, q
     rows = rows.withColumn("name", strip(F.coalesce("true_name", F.lit("")))).withColumn("_slug", slug(c("name")))
     kind = F.when(c("_there").isNull(), "not in the queue").when(c("name") == "", "unreadable").when(c("_slug") == "", "no file name").otherwise("archive")
     rows = rows.withColumn("kind", kind)
-    family = lambda x: F.regexp_replace(x, "(_[0-9]+)+$", "").alias("family")
-    event = lambda df, seq, step, name: df.select(family(name), seq.cast("long").alias("seq"), F.lit(step).alias("step"), name.alias("name"))
+    event = lambda df, seq, step, name: df.select(seq.cast("long").alias("seq"), F.lit(step).alias("step"), name.alias("name"))
     named = rows.where("kind = 'archive'")
-    events = event(named, c("seq"), 0, stem(c("file"))).unionByName(event(named, c("seq"), 1, c("_slug"))).unionByName(event(used, F.lit(-1), 2, c("name")))
-    given = events.groupBy("family").applyInPandas(_queue_names, "seq long, given string")
+    events = event(named, c("seq"), naming.RELEASE, stem(c("file"))).unionByName(event(named, c("seq"), naming.REQUEST, c("_slug"))).unionByName(event(used, F.lit(-1), naming.USED, c("name")))
+    given = naming.give_names(events).select("seq", c("name").alias("given"))
     ids = fields.select("file", "national_id", "registry_no")
     rows = rows.join(given, "seq", "left").join(ids, "file", "left")
     target = F.when(c("kind") == "archive", F.concat("given", F.lit(".pdf"))).when(c("kind") == "unreadable", c("original"))

@@ -6,11 +6,11 @@ duplicates of none. Empty tables give empty ones.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import fold, normalize, strip
+from folio.operators import naming
 
 
 def content_key(text: Column) -> Column:
@@ -36,36 +36,16 @@ def route(official: Column, duplicate: Column, multi: Column, splittable: Column
     return F.when(~official, "unrelated").when(multi & splittable, "split").when(multi, "manual split").when(duplicate, "skipped").when(name == "", "unreadable").when(weak, "verify").otherwise("archive")
 
 
-def _family(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["used", "seq"], ascending=[False, True])
-    taken, next_number, names = set(), {}, []
-    for slug, used in zip(group["slug"], group["used"], strict=True):
-        name = slug
-        if not used and name in taken:
-            k = next_number.get(slug, 2)
-            while (name := f"{slug}_{k}") in taken:
-                k += 1
-            next_number[slug] = k + 1  # numbers below are taken for good
-        taken.add(name)
-        names.append(name)
-    return group.assign(name=names)[["seq", "slug", "used", "name"]]
-
-
 def allocate_names(slugs: DataFrame) -> DataFrame:
     """Free names in order of seq: slug, slug_2, slug_3 ..; rows with used = true are taken as they are.
 
-    A slug may itself end in a number, so names interact inside a family, the slug without
-    such endings. A slug that has no ending anywhere in its family only needs its rank;
-    just the other families go through the ordered fold.
+    A slug may itself end in a number; ``naming`` says how names interact and what is folded.
     """
-    family = F.regexp_replace("slug", "(_[0-9]+)+$", "")
-    rows = slugs.withColumn("family", family)
-    mixed = rows.where((F.col("slug") != F.col("family")) | F.col("used")).select("family").distinct().withColumn("mixed", F.lit(True))
-    rows = rows.join(mixed, "family", "left")
-    rank = F.row_number().over(Window.partitionBy("slug").orderBy("seq"))
-    plain = rows.where("mixed is null").select("seq", "slug", "used", F.when(rank == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", rank)).alias("name"))
-    folded = rows.where("mixed").select("seq", "slug", "used", "family").groupBy("family").applyInPandas(_family, "seq long, slug string, used boolean, name string")
-    return plain.unionByName(folded)
+    step = F.when(F.col("used"), naming.USED).otherwise(naming.REQUEST)
+    seq = F.when(F.col("used"), F.lit(-1)).otherwise(F.col("seq")).cast("long")  # used names come before all requests
+    given = naming.give_names(slugs.select(seq.alias("seq"), step.alias("step"), F.col("slug").alias("name")))
+    taken = slugs.where("used").select(F.col("seq").cast("long").alias("seq"), "slug", "used", F.col("slug").alias("name"))
+    return taken.unionByName(given.select("seq", "slug", F.lit(False).alias("used"), "name"))
 
 
 def suggest_person(names: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
