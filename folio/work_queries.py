@@ -144,3 +144,62 @@ SELECT k AS doc_id, multi, CASE WHEN multi THEN CASE WHEN kn = 4 THEN 'isim:' ||
 )
 def q_document_analysis(spark, d):
     return analysed(spark, d).select("doc_id", "multi", "primary", "map", "second", "splittable", "reason")
+
+
+# ---- moves of processed files ----------------------------------------------------------------
+
+# A customer is a family of names n0 .. n4; each of its orders is a move.
+CHAIN_SQL = f"""WITH RECURSIVE processed AS (SELECT c_custkey c, 'h' || c_custkey || '_' || i AS hash, 's' || c_custkey || '_' || i AS source, 'n' || c_custkey || '_' || i AS target FROM customer, range(2) t(i)),
+moves AS (SELECT o_custkey c, o_orderkey seq, 'n' || o_custkey || '_' || {draw_sql('old', 5, 'o_orderkey')} AS old, 'n' || o_custkey || '_' || {draw_sql('new', 5, 'o_orderkey')} AS new, 's' || o_custkey || '_' || CASE WHEN {draw_sql('src', 3, 'o_orderkey')} = 0 THEN {draw_sql('of', 3, 'o_orderkey')} ELSE 9 + o_orderkey END AS source FROM orders),
+nxt AS (SELECT i.seq, min(j.seq) nx FROM moves i JOIN moves j ON i.c = j.c AND j.seq > i.seq AND (j.old = i.new OR j.source = i.source) GROUP BY i.seq),
+entry AS (SELECT hash, p.source, target, min(j.seq) seq FROM processed p LEFT JOIN moves j ON p.c = j.c AND (j.old = p.target OR j.source = p.source) GROUP BY ALL),
+own AS (SELECT 'hedef:' || old AS hash, max(seq) seq FROM moves WHERE seq NOT IN (SELECT nx FROM nxt) AND seq NOT IN (SELECT seq FROM entry WHERE seq IS NOT NULL) GROUP BY old),
+walk AS (SELECT hash, seq, 0 step FROM entry WHERE seq IS NOT NULL UNION ALL SELECT hash, seq, 0 FROM own UNION ALL SELECT hash, nx, step + 1 FROM walk JOIN nxt USING (seq)),
+done AS (SELECT hash, max_by(seq, step) seq FROM walk GROUP BY hash)
+SELECT hash, m.source, m.new AS target FROM done JOIN moves m USING (seq) UNION ALL SELECT hash, source, target FROM entry WHERE seq IS NULL"""
+
+
+@query(CHAIN_SQL)
+def q_lineage_chain(spark, d):
+    from folio.operators.lineage import retarget
+
+    of = lambda letter, key, n: F.concat(F.lit(letter), F.col(key).cast("string"), F.lit("_"), n.cast("string"))
+    processed = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    processed = processed.select(of("h", "c_custkey", F.col("i")).alias("hash"), of("s", "c_custkey", F.col("i")).alias("source"), of("n", "c_custkey", F.col("i")).alias("target"))
+    source = F.when(draw("src", 3, "o_orderkey") == 0, draw("of", 3, "o_orderkey").cast("long")).otherwise(F.col("o_orderkey") + 9)
+    moves = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), of("n", "o_custkey", draw("old", 5, "o_orderkey")).alias("old"), of("n", "o_custkey", draw("new", 5, "o_orderkey")).alias("new"), of("s", "o_custkey", source).alias("source"))
+    return retarget(processed, moves)
+
+
+# ---- reading in rounds -----------------------------------------------------------------------
+
+MOST_READ = 2
+# A page's text: a person's name, misread in various ways, nothing, or a failure.
+ROUNDS_SQL = f"""WITH p AS (SELECT l_orderkey doc_id, l_linenumber page_no, {draw_sql('blank', 8, 'l_orderkey', 'l_linenumber')} = 0 AS blank, {draw_sql('box', 6, 'l_orderkey', 'l_linenumber')} > 0 AS boxed, {draw_sql('text', 6, 'l_orderkey', 'l_linenumber')} t,
+{misread_sql(person_sql(draw_sql('of', 80, 'l_orderkey')), draw_sql('read', 9, 'l_orderkey', 'l_linenumber'))} AS nm FROM lineitem),
+r AS (SELECT doc_id, page_no, CASE WHEN t < 2 THEN '' ELSE nm END AS value, CASE WHEN t = 0 THEN 'ValueError: no picture' END AS error FROM p WHERE NOT blank AND boxed),
+b AS (SELECT *, coalesce(sum(CASE WHEN value <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) got FROM r)
+SELECT doc_id, CAST(page_no AS BIGINT) page_no, value, error FROM b WHERE got < {MOST_READ}"""
+
+
+def _page_reader():
+    def read(row: dict) -> str:
+        if row["t"] == 0:
+            raise ValueError("no picture")
+        return "" if row["t"] == 1 else row["nm"]
+
+    return read
+
+
+@query(ROUNDS_SQL)
+def q_reading_rounds(spark, d):
+    import uuid
+
+    from folio.sources.scratch import shared_folder
+    from folio.streaming.readings import read_in_rounds, readable
+
+    on_page = ("l_orderkey", "l_linenumber")
+    name = misread(person(draw("of", 80, "l_orderkey")), draw("read", 9, *on_page))
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page_no"), draw("blank", 8, *on_page).alias("blank"), draw("box", 6, *on_page).alias("box"), draw("text", 6, *on_page).alias("t"), name.alias("nm"))
+    wanted = readable(pages, F.col("blank") == 0, F.when(F.col("box") > 0, F.col("box")))
+    return read_in_rounds(wanted, _page_reader, f"{shared_folder(spark)}/readings-{uuid.uuid4().hex}", MOST_READ)
