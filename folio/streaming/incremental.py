@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folio.streaming.known import Known
+
 
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key; on a stream use drop_known, which keeps state instead."""
@@ -19,29 +21,25 @@ def drop_known(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicates(keys)
 
 
-def processed_before(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    """What earlier batches wrote below ``target``; None if there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(target).where(F.col("batch") < number)
-    except AnalysisException:  # nothing is there yet
-        return None
-
-
 def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: list[str] | None = None) -> StreamingQuery:
     """Plan all files that have arrived and stop; each batch goes to a folder of its own, so a batch that runs again after a failure replaces itself.
 
-    With ``keys`` a batch's rows whose keys (not null) an earlier batch wrote, or that repeat within it, are dropped first: an
-    anti join with the written table, which is the only state.
+    With ``keys`` a batch's rows whose keys (not null) an earlier batch brought, or that repeat within it, are dropped first. The keys are kept beside
+    the target, in ``_known`` (``known.Known``), of which a batch opens only what may hold its keys.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if keys:
-            known = processed_before(batch.sparkSession, target, number)
-            batch = batch.dropDuplicates(keys)
-            batch = batch if known is None else batch.join(known, keys, "left_anti")
-        plan(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        folder = f"{target}/batch={number}"
+        if not keys:
+            plan(batch).write.mode("overwrite").parquet(folder)
+            return
+        known = Known(batch.sparkSession, f"{target}/_known")
+        new = known.unseen(batch.dropDuplicates(keys), keys, before=number).persist()
+        try:
+            plan(new).write.mode("overwrite").parquet(folder)
+            known.add(new, keys, number)
+        finally:
+            new.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
