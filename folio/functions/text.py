@@ -13,6 +13,8 @@ MARKED, UNMARKED = "ÇĞİÖŞÜ", "CGIOSU"
 CAPITALS = "A-ZÇĞİÖŞÜ"
 NAME_LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü"
 NOTHING_READ = "YOK"
+#: Unicode's white space.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _plain_letters() -> tuple[str, str]:
@@ -30,7 +32,7 @@ PLAIN_FROM, PLAIN_TO = _plain_letters()
 
 def strip(s: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def turkish_upper(s: Column) -> Column:
