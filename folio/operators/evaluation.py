@@ -53,3 +53,36 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
     rows = df.withColumn("_h", _draw(id_col, seed)).withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", id_col))).where(F.col("_k") <= n)
     rows = rows.join(quota, stratum).withColumn("_own", F.col("_k") <= F.col("quota"))
     return rows.orderBy(F.desc("_own"), "_h", id_col).limit(n).select(*df.columns)
+
+
+def map_runs(maps: DataFrame) -> DataFrame:
+    """(doc_id, letter, first_page, last_page): the runs of equal letters of each map (doc_id, map), in page order; empty and null maps have none."""
+    runs = F.regexp_extract_all("map", F.lit(r"((.)\2*)"), F.lit(1))
+    rows = maps.select("doc_id", F.posexplode(runs).alias("k", "run"))
+    last = F.sum(F.length("run")).over(Window.partitionBy("doc_id").orderBy("k")).cast("int")
+    rows = rows.withColumn("last_page", last)
+    return rows.select("doc_id", F.substring("run", 1, 1).alias("letter"), (F.col("last_page") - F.length("run") + 1).alias("first_page"), "last_page")
+
+
+def split_agreement(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """doc_id, n_pages, n_same, n_cuts, n_found and n_shared of each document with a true map, from maps (doc_id, map).
+
+    Pages agree where runs of one letter overlap; cuts are the pages at which a new run begins. A found map may be missing, shorter or longer:
+    n_pages are the true map's, and a cut counts as shared only at the same page.
+    """
+    a, b = map_runs(truth), map_runs(found).withColumnsRenamed({"letter": "l", "first_page": "f", "last_page": "t"})
+    overlap = (F.least("last_page", "t") - F.greatest("first_page", "f") + 1).cast("long")
+    met = a.join(b, "doc_id").where((F.col("first_page") <= F.col("t")) & (F.col("f") <= F.col("last_page")))
+    same = met.groupBy("doc_id").agg(F.sum(F.when(F.col("letter") == F.col("l"), overlap).otherwise(F.lit(0))).alias("n_same"), F.count_if((F.col("first_page") == F.col("f")) & (F.col("f") > 1)).alias("n_shared"))
+    cuts = lambda runs, page, name: runs.groupBy("doc_id").agg(F.count_if(F.col(page) > 1).alias(name))
+    rows = truth.select("doc_id", F.length(F.coalesce("map", F.lit(""))).cast("long").alias("n_pages"))
+    for more in (same, cuts(a, "first_page", "n_cuts"), cuts(b, "f", "n_found")):
+        rows = rows.join(more, "doc_id", "left")
+    return rows.select("doc_id", "n_pages", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_same", "n_cuts", "n_found", "n_shared")))
+
+
+def split_counts(flagged: DataFrame, analysis: DataFrame) -> DataFrame:
+    """One row: flagged documents (doc_id), those without a primary person, those that split by themselves and those left to a person; analysis is ``pages.document_analysis``."""
+    rows = flagged.select("doc_id").distinct().join(analysis.select("doc_id", "primary", "splittable"), "doc_id")
+    none, split = F.col("primary").isNull(), F.coalesce("splittable", F.lit(False))
+    return rows.agg(F.count("*").alias("n_flagged"), F.count_if(none).alias("n_skipped"), F.count_if(split).alias("n_splittable"), F.count_if(~none & ~split).alias("n_by_hand"))

@@ -203,3 +203,68 @@ def q_reading_rounds(spark, d):
     pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page_no"), draw("blank", 8, *on_page).alias("blank"), draw("box", 6, *on_page).alias("box"), draw("text", 6, *on_page).alias("t"), name.alias("nm"))
     wanted = readable(pages, F.col("blank") == 0, F.when(F.col("box") > 0, F.col("box")))
     return read_in_rounds(wanted, _page_reader, f"{shared_folder(spark)}/readings-{uuid.uuid4().hex}", MOST_READ)
+
+
+# ---- labelling and evaluation ----------------------------------------------------------------
+
+# A page has up to two of three ids; boxes of the id's label and of registry numbers stand on some.
+LABEL_SQL = f"""WITH p AS (SELECT l_orderkey doc_id, l_linenumber page_no, {draw_sql('ids', 7, 'l_orderkey', 'l_linenumber')} n, {draw_sql('one', 3, 'l_orderkey', 'l_linenumber')} i, {draw_sql('many', 3, 'l_orderkey')} m, {draw_sql('lab', 3, 'l_orderkey', 'l_linenumber')} lb, {draw_sql('reg', 5, 'l_orderkey', 'l_linenumber')} rg, {draw_sql('x', 90, 'l_orderkey', 'l_linenumber')}::DOUBLE x, {draw_sql('y', 120, 'l_orderkey', 'l_linenumber')}::DOUBLE y FROM lineitem),
+g AS (SELECT o_orderkey doc_id, {draw_sql('gold', 4, 'o_orderkey')} = 0 AS complete FROM orders),
+q AS (SELECT p.*, CASE WHEN n = 0 THEN [0, 1 + i] WHEN n = 1 THEN [CASE WHEN m = 0 THEN i ELSE 0 END] ELSE []::INT[] END ids FROM p JOIN g USING (doc_id) WHERE NOT complete),
+d AS (SELECT doc_id, max(page_no) last, len(list_distinct(flatten(list(ids)))) n_ids FROM q GROUP BY doc_id),
+ib AS (SELECT doc_id, min(page_no) pg FROM q JOIN d USING (doc_id) WHERE lb = 0 AND n_ids = 1 GROUP BY doc_id), rb AS (SELECT doc_id, min(page_no) pg FROM q WHERE rg = 0 GROUP BY doc_id),
+u AS (SELECT DISTINCT doc_id, unnest(range(greatest(page_no - 1, 1), least(page_no + 1, last) + 1)) page FROM q JOIN d USING (doc_id) WHERE len(ids) > 0 AND doc_id NOT IN (SELECT doc_id FROM ib) UNION SELECT doc_id, 1 FROM d WHERE doc_id NOT IN (SELECT doc_id FROM ib)),
+r AS (SELECT doc_id, min(page) a, max(page) b FROM (SELECT *, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) k FROM u) GROUP BY doc_id, k),
+crops AS (SELECT doc_id, 'id' AS field, pg FROM ib UNION ALL SELECT doc_id, 'registry', pg FROM rb)
+SELECT c.doc_id, field, 'crop' AS kind, CAST(pg AS BIGINT) AS first_page, CAST(pg AS BIGINT) AS last_page, CAST(greatest(y - 6, 0) AS DOUBLE) AS y0, CAST(least(x + 36, 100) AS DOUBLE) AS x1, CAST(least(y + 16, 130) AS DOUBLE) AS y1 FROM crops c JOIN q ON c.doc_id = q.doc_id AND page_no = pg
+UNION ALL SELECT doc_id, 'id', 'pages', a, b, NULL, NULL, NULL FROM r UNION ALL SELECT doc_id, 'registry', 'pages', 1, 1, NULL, NULL, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM rb)"""
+
+
+@query(LABEL_SQL)
+def q_label_work(spark, d):
+    from folio.operators.labelling import label_work
+
+    on_page, c = ("l_orderkey", "l_linenumber"), F.col
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), c("l_linenumber").cast("int").alias("page_no"), draw("ids", 7, *on_page).alias("n"), draw("one", 3, *on_page).alias("i"), draw("many", 3, "l_orderkey").alias("m"), draw("lab", 3, *on_page).alias("lb"), draw("reg", 5, *on_page).alias("rg"), draw("x", 90, *on_page).cast("double").alias("x"), draw("y", 120, *on_page).cast("double").alias("y"))
+    own = F.when(c("n") == 0, F.array(F.lit(0), c("i") + 1)).when(c("n") == 1, F.array(F.when(c("m") == 0, c("i")).otherwise(0))).otherwise(F.expr("cast(array() as array<int>)"))
+    ids = rows.select("doc_id", "page_no", F.transform(own, lambda x: x.cast("string")).alias("ids"))
+    box = F.struct(c("x").alias("x0"), c("y").alias("y0"), (c("x") + 30).alias("x1"), (c("y") + 10).alias("y1"))
+    boxes = lambda which: rows.where(c(which) == 0).select("doc_id", "page_no", box.alias("box"))
+    sizes = rows.select("doc_id", "page_no", F.lit(100.0).alias("page_width"), F.lit(130.0).alias("page_height"))
+    number = lambda salt: F.when(draw("gold", 4, "o_orderkey") == 0, "1").when(draw(salt, 2, "o_orderkey") == 0, " ")
+    gold = table(spark, d, "orders").select(c("o_orderkey").alias("doc_id"), number("a").alias("national_id"), number("b").alias("registry_no"))
+    found = label_work(gold, ids, boxes("lb"), boxes("rg"), sizes, beside=1)
+    return found.select("doc_id", "field", "kind", c("first_page").cast("long").alias("first_page"), c("last_page").cast("long").alias("last_page"), "box.y0", "box.x1", "box.y1")
+
+
+def drawn_maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Found and true maps of the orders: a letter for each line, in runs; some found ones are missing."""
+    c, on_page = F.col, ("l_orderkey", "l_linenumber")
+    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), c("l_linenumber").alias("n"), draw("true", 5, *on_page).alias("t"), draw("found", 6, *on_page).alias("f"), draw("cut", 4, "l_orderkey").alias("k"), draw("gone", 9, "l_orderkey").alias("g"))
+    letter = F.when(c("n") > c("k") + 1, "B").otherwise("A")
+    maps = rows.withColumns({"t": F.when(c("t") == 0, "B").otherwise(letter), "f": F.when(c("f") == 0, "?").when(c("f") == 1, "B").otherwise(letter)})
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", x))), lambda y: y[x]), "")
+    whole = maps.groupBy("doc_id", "g").agg(joined("t").alias("t"), joined("f").alias("f"))
+    return whole.where("g > 0").select("doc_id", F.when(c("g") == 1, F.substring("f", 1, 2)).otherwise(c("f")).alias("map")), whole.select("doc_id", c("t").alias("map"))
+
+
+@query(f"""WITH p AS (SELECT l_orderkey doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) pos, {draw_sql('true', 5, 'l_orderkey', 'l_linenumber')} t, {draw_sql('found', 6, 'l_orderkey', 'l_linenumber')} f, CASE WHEN l_linenumber > {draw_sql('cut', 4, 'l_orderkey')} + 1 THEN 'B' ELSE 'A' END l, {draw_sql('gone', 9, 'l_orderkey')} g FROM lineitem),
+m AS (SELECT doc_id, pos, CASE WHEN t = 0 THEN 'B' ELSE l END a, CASE WHEN g = 0 OR (g = 1 AND pos > 2) THEN NULL WHEN f = 0 THEN '?' WHEN f = 1 THEN 'B' ELSE l END b FROM p),
+c AS (SELECT *, a <> lag(a) OVER w AS ca, b <> lag(b) OVER w AS cb FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, count(*) AS n_pages, count(*) FILTER (a = b) AS n_same, count(*) FILTER (ca) AS n_cuts, count(*) FILTER (cb) AS n_found, count(*) FILTER (ca AND cb) AS n_shared FROM c GROUP BY doc_id""")
+def q_split_eval(spark, d):
+    from folio.operators.evaluation import split_agreement
+
+    return split_agreement(*drawn_maps(spark, d))
+
+
+@query(
+    SPLIT_NAMES_SQL
+    + f""", a AS (SELECT o_orderkey k, {draw_sql('known', 5, 'o_orderkey')} kn, {draw_sql('several', 3, 'o_orderkey')} = 1 AS multi FROM orders WHERE {draw_sql('flag', 4, 'o_orderkey')} = 0)
+SELECT count(*) AS n_flagged, count(*) FILTER (NOT multi) AS n_skipped, count(*) FILTER (multi AND reason = '') AS n_splittable, count(*) FILTER (multi AND (reason IS NULL OR reason <> '')) AS n_by_hand FROM a LEFT JOIN found f ON k = f.doc_id"""
+)
+def q_split_counts(spark, d):
+    from folio.operators.evaluation import split_counts
+
+    flagged = table(spark, d, "orders").where(draw("flag", 4, "o_orderkey") == 0).select(F.col("o_orderkey").alias("doc_id"))
+    return split_counts(flagged, analysed(spark, d))
