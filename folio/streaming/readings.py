@@ -44,10 +44,10 @@ def _reading(make_reader: Callable[[], Callable[[dict], str]], columns: list[str
         reader = None
         for batch in batches:
             values, errors = [], []
-            for row in batch[columns].to_dict("records"):
+            for row in zip(*(batch[c] for c in columns), strict=True):
                 try:
                     reader = reader or make_reader()
-                    value, error = reader(row) or "", None
+                    value, error = reader(dict(zip(columns, row, strict=True))) or "", None
                 except Exception as e:  # a page that can't be read is a result, not the end of the others
                     value, error = "", f"{type(e).__name__}: {e}"
                 values.append(value)
