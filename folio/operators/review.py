@@ -114,6 +114,37 @@ def move_pages(assignment: DataFrame, moves: DataFrame) -> DataFrame:
     return placed.withColumn("page_no", F.row_number().over(order)).drop("_at")
 
 
+def merge_documents(documents: DataFrame, steps: DataFrame) -> DataFrame:
+    """doc_id, file, n_pages, pages and problem of each new document from steps (target, position, doc_id, page_no).
+
+    documents has doc_id, file and n_pages. Pages come in order of position, repeats kept, as structs (new_no, doc_id, page_no). The new file's name is its sources' names in order of first use with plus signs between, or
+    ``birlesik_N_belge.pdf`` beyond 80 characters. A step without its document, or with a page that the document doesn't have, is a problem: that merge has no pages.
+    """
+    c = F.col
+    rows = steps.join(documents.select("doc_id", "file", "n_pages"), "doc_id", "left")
+    bad = c("file").isNull() | ~F.coalesce(c("page_no").between(1, c("n_pages")), F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.struct("position", "doc_id", "page_no", "file")))
+    merged = rows.groupBy("target").agg(F.bool_or(bad).alias("_bad"), ordered.alias("_all"))
+    names = F.transform(F.array_distinct(F.transform("_all", lambda x: F.struct(x["doc_id"], x["file"]))), lambda x: x["file"])
+    joined = F.array_join(names, " + ")
+    file = F.when(F.length(joined) > 80, F.concat(F.lit("birlesik_"), F.size(names).cast("string"), F.lit("_belge.pdf"))).when(F.lower(joined).endswith(".pdf"), joined).otherwise(F.concat(joined, F.lit(".pdf")))
+    pages = F.transform("_all", lambda x, k: F.struct((k + 1).alias("new_no"), x["doc_id"].alias("doc_id"), x["page_no"].alias("page_no")))
+    good = lambda x: F.when(~c("_bad"), x)
+    return merged.select(c("target").alias("doc_id"), good(file).alias("file"), good(F.size("_all").cast("long")).alias("n_pages"), good(pages).alias("pages"), F.when(c("_bad"), "no such page").otherwise("").alias("problem"))
+
+
+def after_merge(documents: DataFrame, merged: DataFrame) -> DataFrame:
+    """documents with the merged ones queued, and their sources done, in bucket split with the new document's id as their reason (of several the least)."""
+    good = merged.where("problem = ''")
+    used = good.select(F.explode("pages").alias("p"), F.col("doc_id").alias("_into")).groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.min("_into").alias("_into"))
+    rows = documents.join(used, "doc_id", "left")
+    value = lambda new, c: F.when(F.col("_into").isNotNull(), new).otherwise(F.col(c)).alias(c)
+    changed = {"state": F.lit("done"), "bucket": F.lit("split"), "why": F.concat(F.lit("merged into "), F.col("_into").cast("string"))}
+    kept = rows.select(*(value(changed[c], c) if c in changed else F.col(c) for c in documents.columns))
+    new = good.select("doc_id", "file", "n_pages", F.lit("queued").alias("state"), F.lit("").alias("bucket"), F.lit("").alias("why"), F.lit(1).alias("version"))
+    return kept.unionByName(new.select(*(F.col(c).cast(t).alias(c) if c in new.columns else F.lit(None).cast(t).alias(c) for c, t in documents.dtypes)))
+
+
 def detach_pages(assignment: DataFrame, gone: DataFrame) -> DataFrame:
     """Assignment after pages left for a new document (doc_id, page_no, new_doc); a document keeps its pages if all would go."""
     keeps = assignment.join(gone, ["doc_id", "page_no"], "left_anti").select("doc_id").distinct()
