@@ -78,9 +78,9 @@ def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(k1, k2, n_hit, ids) of the texts that hold a window, from rows (k1, k2, text)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where("item is not null and size(w) > 0")
-    items = items.groupBy("w").agg(F.collect_set("item").alias("ids")).withColumn("class", F.xxhash64("w"))
+    """(k1, k2, n_hit, ids) of the texts that hold a window, from rows (k1, k2, text); ids is null if only items without an id have it."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).where("size(w) > 0")
+    items = items.groupBy("w").agg(F.collect_set("item").alias("ids")).withColumn("class", F.xxhash64("w"))  # null ids aren't collected
     items = materialize(items)
     lengths = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(WINDOW))).distinct().collect())  # ten values at most
     if not lengths:
@@ -110,14 +110,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_
     covered = covered.groupBy(*KEY).agg(F.sum(F.greatest(end - F.col("from"), F.lit(0))).cast("long").alias("n_hit"))
     classes = found.select(*KEY, "a", "b", "n").distinct().join(broadcast_if_small(windows), ["a", "b", "n"]).select(*KEY, "class").distinct()
     ids = classes.join(items.select("class", F.explode("ids").alias("item")), "class").groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("ids"))
-    return materialize(covered.join(ids, KEY))
+    return materialize(covered.join(ids, KEY, "left"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated for each document.
 
     A word is hit if it lies in any occurrence of a window. Null and empty texts have no
-    words and no hits; items without words or id match nothing; an empty benchmark leaves
+    words and no hits; items without words match nothing; words of an item without an id are hit, but it isn't counted or listed; an empty benchmark leaves
     every document clean. Items with equal words are joined as one class, whose ids are
     then listed; an id that several items have is listed once. Every row is a document of its
     own, whatever its id: ids may be null or repeat, and copies of a text get the same hits.

@@ -75,14 +75,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL3 = f"""WITH d AS (SELECT row_number() OVER () r, doc_id, {_WORDS} w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark),
 x AS (SELECT item, least(len(w), 10) n, list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' ')) g FROM b WHERE len(w) > 0),
 y AS (SELECT DISTINCT n, unnest(g) g, item FROM x), z AS (SELECT DISTINCT n FROM y),
 e AS (SELECT r, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) g FROM d, z WHERE len(w) >= n),
 f AS (SELECT r, n, unnest(g) g, unnest(range(1, len(g) + 1)) i FROM e),
 h AS (SELECT r, i, n, item FROM f JOIN y USING (n, g)),
 p AS (SELECT r, count(DISTINCT k) n_hit FROM (SELECT r, unnest(range(i, i + n)) k FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
-q AS (SELECT r, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+q AS (SELECT r, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)"""
 
 SQL5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),

@@ -15,10 +15,10 @@ def brute(docs, items):
     windows = {}
     for item, text in items:
         w = split(text)
-        if w and item is not None:
+        if w:
             n = min(len(w), 10)
             for i in range(len(w) - n + 1):
-                windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+                windows.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     out = {}
     for doc_id, text in docs:
         w, hit, found = split(text), set(), set()
@@ -69,3 +69,11 @@ def test_ids_that_repeat(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in contamination(docs, items).collect()), key=str)
     want = [(1, 5, 4, 2, one("7", "8")), (1, 5, 2, 1, one("7")), (1, 5, 2, 1, one("7")), (None, 2, 1, 1, one("9")), (None, 0, 0, 0, one("")), (2, 5, 0, 0, one(""))]
     assert got == sorted(want, key=str)
+
+
+def test_words_of_an_item_without_an_id_are_hit(spark):
+    items = spark.createDataFrame([(None, "p q"), (1, "a b"), (None, "a b")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x p q"), (2, "a b p q")], "doc_id long, text string")
+    got = rows(contamination(docs, items))
+    assert got[1] == (3, 2, 0, hashlib.sha256(b"").hexdigest(), True)
+    assert got[2] == (4, 4, 1, hashlib.sha256(b"1").hexdigest(), True)
