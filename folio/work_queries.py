@@ -268,3 +268,27 @@ def q_split_counts(spark, d):
 
     flagged = table(spark, d, "orders").where(draw("flag", 4, "o_orderkey") == 0).select(F.col("o_orderkey").alias("doc_id"))
     return split_counts(flagged, analysed(spark, d))
+
+
+# ---- merging documents -----------------------------------------------------------------------
+
+# Of half the orders of a customer two pages each go into a new document; some pages aren't there.
+MERGE_SQL = f"""WITH d AS (SELECT o_orderkey k, o_custkey c, 'order' || o_orderkey || CASE WHEN {draw_sql('ext', 3, 'o_orderkey')} > 0 THEN '.pdf' ELSE '' END AS file, {draw_sql('pages', 6, 'o_orderkey')} + 1 AS n, CASE WHEN {draw_sql('bad', 25, 'o_orderkey')} = 0 THEN 9 ELSE 1 END AS pg FROM orders),
+s AS (SELECT 'm' || c AS target, 2 * k + i AS position, k, file, n, CASE WHEN i = 0 THEN pg ELSE n END AS page FROM d, range(2) t(i) WHERE {draw_sql('in', 2, 'k')} = 0),
+u AS (SELECT target, k, file, min(position) AS fst FROM s GROUP BY ALL), f AS (SELECT target, string_agg(file, ' + ' ORDER BY fst) AS names, count(*) n FROM u GROUP BY target),
+p AS (SELECT target, bool_or(page > n) bad, count(*) n_pages, string_agg(k || ':' || page, ',' ORDER BY position) AS pages FROM s GROUP BY target)
+SELECT target AS doc_id, CASE WHEN bad THEN NULL WHEN length(names) > 80 THEN 'birlesik_' || n || '_belge.pdf' WHEN lower(names) LIKE '%.pdf' THEN names ELSE names || '.pdf' END AS file, CASE WHEN NOT bad THEN n_pages END AS n_pages, CASE WHEN NOT bad THEN pages END AS pages, CASE WHEN bad THEN 'no such page' ELSE '' END AS problem FROM p JOIN f USING (target)"""
+
+
+@query(MERGE_SQL)
+def q_merge_documents(spark, d):
+    from folio.operators.review import merge_documents
+
+    c, key = F.col, "o_orderkey"
+    orders = table(spark, d, "orders").withColumns({"n": draw("pages", 6, key) + 1, "page": F.when(draw("bad", 25, key) == 0, 9).otherwise(1), "ext": F.when(draw("ext", 3, key) > 0, ".pdf").otherwise("")})
+    documents = orders.select(c(key).alias("doc_id"), F.concat(F.lit("order"), c(key), c("ext")).alias("file"), c("n").cast("long").alias("n_pages"))
+    both = F.posexplode(F.array("page", "n")).alias("i", "page_no")
+    steps = orders.where(draw("in", 2, key) == 0).select(F.concat(F.lit("m"), "o_custkey").alias("target"), c(key).alias("doc_id"), both)
+    merged = merge_documents(documents, steps.withColumn("position", c("doc_id") * 2 + c("i")).drop("i"))
+    listed = F.array_join(F.transform("pages", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["page_no"].cast("string"))), ",")
+    return merged.withColumn("pages", listed)
