@@ -83,11 +83,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k highest scores, and of all that tie with the last of them."""
+def _best(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Columns of each row's k highest scores, and of all that may tie with the last of them if every score is off by up to ``slack``."""
     if scores.shape[1] <= k:
         return np.ones(scores.shape, bool)
-    return scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    return scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] - 2 * slack
 
 
 class Best:
@@ -106,7 +106,7 @@ class Best:
             q = self.q[at : at + 256]
             rough = q @ vectors.T
             slack = 1e-9 * np.abs(rough).max()
-            i, j = np.nonzero(_best(rough + slack, self.k) & (rough + slack >= self.least[at : at + 256, None]))
+            i, j = np.nonzero(_best(rough, self.k, slack) & (rough + slack >= self.least[at : at + 256, None]))
             if len(i):
                 self.found.append((i + at, reps[j], np.add.reduce(q[i] * vectors[j], axis=1)))
         if sum(len(x[0]) for x in self.found) > 4 * self.k * len(self.qr):
@@ -134,7 +134,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Vectors that are null or zero, or hold null or non-finite components, take no part, nor
     do rows without an id; of vectors of several lengths only those of the commonest length
-    count. Ties go to the smaller id; rows that repeat an id and a vector count once.
+    count. Ties go to the smaller id; rows that repeat an id and a vector count once. An empty table gives no rows. Other columns,
+    whatever their names, are ignored.
     """
     spark = vectors.sparkSession
     vec = F.col("vec")
@@ -236,7 +237,7 @@ def _reach(classes: DataFrame, queries: DataFrame, points: DataFrame, seekers: D
         for b in batches:
             if b.num_rows:
                 rough = q @ _matrix(b.column("vec")).T
-                i, j = np.nonzero(_best(rough, k + 1))
+                i, j = np.nonzero(_best(rough, k + 1, 1e-9 * np.abs(rough).max(initial=0.0)))
                 yield pa.RecordBatch.from_arrays([pa.array(qr[i]), pa.array(b.column("rep").to_numpy()[j]), pa.array(rough[i, j])], names=["q", "rep", "score"])
 
     exact = classes.select("rep", "vec").mapInArrow(scored, "q long, rep long, score double").where("q <> rep")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -49,6 +50,7 @@ class Vocabulary:
             raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[keys >> np.uint64(42)] = True
+        self.ends: ahocorasick.Automaton | None = None  # of all pieces, once a long pre-token needs it
 
     def scores(self, hashes: np.ndarray) -> np.ndarray:
         """Scores of the pieces with these hashes, -inf where there is none."""
@@ -60,13 +62,18 @@ class Vocabulary:
         return out
 
     def plain(self, token: bytes) -> int:
-        """Pieces of one pre-token, by the same recurrence without a trie."""
-        best = [(0.0, 0)]
-        for end in range(1, len(token) + 1):
-            found = [(best[at][0] + s, -best[at][1] - 1) for at in range(max(0, end - self.longest), end) if (s := self.score.get(token[at:end])) is not None]
-            s, n = max(found, default=(-np.inf, 0))
-            best.append((s, -n))
-        return best[-1][1]
+        """Pieces of one pre-token of any length, by the same recurrence over the pieces that end at each byte."""
+        if self.ends is None:
+            self.ends = ahocorasick.Automaton()
+            for piece, s in self.score.items():
+                self.ends.add_word(piece.decode("latin-1"), (len(piece), s))
+            self.ends.make_automaton()
+        best = [(0.0, 0)] + [(-np.inf, 0)] * len(token)  # scores, and numbers of pieces below zero
+        for last, (size, s) in self.ends.iter(token.decode("latin-1")):
+            score, n = best[last + 1 - size]
+            if (found := (score + s, n - 1)) > best[last + 1]:
+                best[last + 1] = found
+        return -best[-1][1]
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """Pieces of each of the sorted distinct pre-tokens, none longer than ``TRIE_BYTES``."""
@@ -130,11 +137,16 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have none; texts of any length are cut whole. Ids may be null; rows that repeat an id or a text come back
     as often; other columns, whatever their names, are ignored; an empty table gives no rows. Equal scores go to fewer pieces.
-    The vocabulary, some hundred thousand lines at most, is read by Spark and broadcast.
+    A pre-token without a break may be of any length; the time that it takes is in proportion to it.
+    The vocabulary, some hundred thousand lines at most, is broadcast: a path is one of the driver's, a URI is read by Spark.
     """
     spark = docs.sparkSession
-    path = vocabulary if "://" in vocabulary else f"file://{vocabulary}"
-    shared = spark.sparkContext.broadcast([r[0] for r in spark.read.text(path).collect()])
+    if "://" in vocabulary:
+        lines = [r[0] for r in spark.read.text(vocabulary).collect()]
+    else:
+        with open(vocabulary, encoding="ascii") as f:
+            lines = f.read().splitlines()
+    shared = spark.sparkContext.broadcast(lines)
 
     def rows(batches):
         count = Counter(Vocabulary(shared.value))

@@ -39,3 +39,14 @@ def test_longest_pieces(spark):
     assert [VOCAB.plain(t) for t in rules] == [uncapped(t) for t in rules]
     df = spark.createDataFrame([(1, "-" * 64), (2, "a\n" + "-" * 128)], "doc_id long, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {1: 1, 2: 2 + uncapped(b"-" * 128)}
+
+
+def test_a_pretoken_without_a_break_takes_time_in_proportion():
+    import time
+
+    r = random.Random(4)
+    long = "".join(r.choices("abcdeéß", k=300_000)).encode()
+    began = time.time()
+    assert VOCAB.plain(long) > 100_000
+    assert time.time() - began < 20  # a slice for each byte and length took minutes
+    assert VOCAB.plain(b"") == 0
