@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The three patterns of a registry number.
+# The three patterns of a registry number. An eleven-digit id that starts with 321 is no province number with a misread stroke.
 DN = r"DN[\s:.\-]*(\d{4,6})"
-PROVINCE = r"\b32\s*[/1|]\s*(\d{4,6})"
+PROVINCE = r"\b(?!\d{11}\b)32\s*[/1|]\s*(\d{4,6})"
 LABEL = r"(?iu)Sicil\s+No\s*:?\s*(\d{4,5})"
 
 
