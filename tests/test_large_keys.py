@@ -26,3 +26,7 @@ def test_province_number_with_misread_stroke(spark):
     texts = ["32/12345", "32112345", "32|1234", "321 12345", "32112345678", "No: 32198765432"]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").rlike(R.PROVINCE).alias("x")).collect()
     assert [r.x for r in found] == [True, True, True, True, False, False]
+
+
+def test_prefix_elim_at_all_nines(spark, tmp_path):
+    against_sql(spark, tmp_path, "q_prefix_elim", "orders", [(k,) for k in (89_998, 89_999, 90_000, 989_999, 79_999, 0, 7)], "o_orderkey long")
