@@ -510,11 +510,21 @@ def q_exclusion(spark, d):
 # ---- layout: words of documents placed on lines ----------------------------------------------
 
 
+#: Tasks for each input split of documents once their words stand in rows of their own, some thirty times as many bytes.
+WORD_TASKS = 32
+
+
 def placed_words(spark: SparkSession, d: str) -> DataFrame:
-    """All words of documents with boxes: twelve to a row, forty rows to a page; a line of text goes on in the next row."""
-    lines = line_pages(spark, d).withColumn("w", F.split("page_text", " "))
-    rows = F.coalesce(F.sum(F.ceil(F.size("w") / 12)).over(Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = lines.withColumn("r", rows).select("doc_id", "r", F.posexplode("w").alias("k", "word"))
+    """All words of documents with boxes: twelve to a row, forty rows to a page; a line of text goes on in the next row.
+
+    Texts are dealt by document before they are cut, so whatever groups words by document and page deals no words again.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = docs.repartition(WORD_TASKS * docs.rdd.getNumPartitions(), "doc_id")
+    cut = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda line: F.split(line, " ")).alias("lines"))
+    ends = F.aggregate("lines", F.array(F.lit(0).cast("long")), lambda seen, w: F.concat(seen, F.array(F.element_at(seen, -1) + F.ceil(F.size(w) / 12))))
+    lines = cut.withColumn("r", ends).select("doc_id", F.explode(F.arrays_zip("r", "lines")).alias("x")).where("x.lines is not null")
+    words = lines.select("doc_id", "x.r", F.posexplode("x.lines").alias("k", "word"))
     words = words.withColumn("row", F.col("r") + F.floor(F.col("k") / 12)).withColumn("page_no", F.floor(F.col("row") / 40).cast("int"))
     x0, y0 = (F.col("k") % 12 * 45).cast("double"), (F.col("row") % 40 * 10).cast("double")
     return words.select("doc_id", "page_no", (F.col("row") * 12 + F.col("k") % 12).alias("word_no"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 8).alias("y1"), "word")
