@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.registry_numbers import DN, LABEL, PROVINCE, candidates, decision
 from folio.functions.text import id_valid, name_letters, normalize, only_digits, plausible_name, valid_ids
-from folio.operators.layout import ID_LABEL, NAME_LABEL, ON_PAGE, SPARE_LABEL, label_boxes, label_values, line_box
+from folio.operators.layout import ID_LABEL, NAME_LABEL, ON_PAGE, SPARE_LABEL, labelled_boxes, labelled_values, line_box
 
 OFFICIAL_PAGES = 5
 
@@ -41,21 +41,21 @@ def extract(pages: DataFrame, words: DataFrame) -> DataFrame:
     """
     first = pages.where(F.col("page_text").rlike(DN)).groupBy("doc_id").agg(F.min("page_no").alias("dn_page"))
     place = F.struct((~F.col("page_no").eqNullSafe(F.col("dn_page"))).alias("late"), F.col("page_no").alias("no"))
-    ranked = lambda found: found.join(first, "doc_id", "left").withColumn("rank", place)
-
-    named = ranked(label_values(words, NAME_LABEL).withColumn("spare", F.lit(0)).unionByName(label_values(words, SPARE_LABEL).withColumn("spare", F.lit(1))))
-    good = plausible_name(F.col("value"))
-    named = named.groupBy("doc_id").agg(
-        F.min_by(F.struct(name_letters(F.col("value")).alias("name"), "page_no", "box"), F.when(good, F.struct("spare", "rank"))).alias("n"),
-        F.min_by(F.struct("page_no", "box"), F.when(~good, F.struct("page_no", "spare"))).alias("b"),
-        F.max(good).alias("named"),
+    found = labelled_values(words, (NAME_LABEL, SPARE_LABEL, ID_LABEL)).join(first, "doc_id", "left").withColumns({"rank": place, "spare": (F.col("label") == SPARE_LABEL).cast("int")})
+    is_id = F.col("label") == ID_LABEL
+    good, digits = plausible_name(F.col("value")), only_digits(F.col("value"))
+    right, id_ = id_valid(F.col("id")), F.when(is_id & digits.rlike("^[1-9][0-9]{10}$"), digits)
+    found = found.withColumn("id", id_).groupBy("doc_id").agg(
+        F.min_by(F.struct(name_letters(F.col("value")).alias("name"), "page_no", "box"), F.when(~is_id & good, F.struct("spare", "rank"))).alias("n"),
+        F.min_by(F.struct("page_no", "box"), F.when(~is_id & ~good, F.struct("page_no", "spare"))).alias("b"),
+        F.max(F.when(~is_id, good)).alias("named"),
+        F.min_by(F.struct("page_no", "box"), F.when(is_id, F.col("rank"))).alias("i"),
+        F.min(F.when(is_id & right, F.struct("rank", "id"))).alias("v"),
+        F.collect_list(F.when(is_id & ~right, F.col("rank"))).alias("bad"),
     )
-    digits = only_digits(F.col("value"))
-    eleven = ranked(label_values(words, ID_LABEL)).withColumn("id", F.when(digits.rlike("^[1-9][0-9]{10}$"), digits))
-    ids = eleven.groupBy("doc_id").agg(F.min_by(F.struct("page_no", "box"), "rank").alias("i"), F.min(F.when(id_valid(F.col("id")), F.struct("rank", "id"))).alias("v"), F.collect_list(F.when(~id_valid(F.col("id")), F.col("rank"))).alias("bad"))
     numbers = whole_text(pages, "\n").select("doc_id", decision(F.col("text")).alias("r"))
     boxes = registry_boxes(words).select("doc_id", F.col("page_no").alias("registry_page"), F.col("box").alias("registry_box"))
-    out = numbers.join(named, "doc_id", "left").join(ids, "doc_id", "left").join(boxes, "doc_id", "left")
+    out = numbers.join(found, "doc_id", "left").join(boxes, "doc_id", "left")
     named_at = F.when(F.col("named"), F.struct("n.page_no", "n.box")).otherwise(F.struct("b.page_no", "b.box"))
     failed = F.when(F.col("v").isNull(), F.size("bad")).otherwise(F.size(F.filter("bad", lambda x: x < F.col("v.rank"))))
     has_name, has_id = F.coalesce("named", F.lit(False)), F.col("v").isNotNull()
@@ -83,8 +83,8 @@ def extract(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 def crop_boxes(words: DataFrame, widths: DataFrame) -> DataFrame:
     """(doc_id, page_no, box): the line to cut out for a reader, from the name label or else the spare one; widths has page_width by page."""
-    found = label_boxes(words, NAME_LABEL).withColumn("spare", F.lit(0)).unionByName(label_boxes(words, SPARE_LABEL).withColumn("spare", F.lit(1)))
-    one = found.groupBy(*ON_PAGE).agg(F.min_by(F.struct("x0", "y0", "y1"), "spare").alias("b")).join(widths, ON_PAGE)
+    found = labelled_boxes(words, (NAME_LABEL, SPARE_LABEL))
+    one = found.groupBy(*ON_PAGE).agg(F.min_by(F.struct("x0", "y0", "y1"), F.col("label") == SPARE_LABEL).alias("b")).join(widths, ON_PAGE)
     return one.select(*ON_PAGE, line_box(F.col("b.x0"), F.col("b.y0"), F.col("b.y1"), F.col("page_width")).alias("box"))
 
 
@@ -95,8 +95,9 @@ def page_owners(pages: DataFrame, words: DataFrame, readings: DataFrame | None =
     the page's only valid id. The name is the labelled one if plausible, else the
     reader's. readings has doc_id, page_no, field (id or name) and value, where a label was found.
     """
-    labelled = lambda label, name: label_values(words, label).select(*ON_PAGE, F.col("value").alias(name))
-    rows = pages.join(labelled(ID_LABEL, "_i"), ON_PAGE, "left").join(labelled(NAME_LABEL, "_n"), ON_PAGE, "left")
+    value = lambda label: F.max(F.when(F.col("label") == label, F.col("value")))
+    labelled = labelled_values(words, (ID_LABEL, NAME_LABEL)).groupBy(*ON_PAGE).agg(value(ID_LABEL).alias("_i"), value(NAME_LABEL).alias("_n"))
+    rows = pages.join(labelled, ON_PAGE, "left")
     for field in ("id", "name"):
         if readings is None:
             rows = rows.withColumn(f"_r{field}", F.lit(None).cast("string"))
@@ -118,8 +119,7 @@ def has_pattern(text: Column) -> Column:
 
 def official_pages(pages: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_no, official): the page has one of the patterns, a name label's box or an id label's value."""
-    labels = [label_boxes(words, NAME_LABEL), label_boxes(words, SPARE_LABEL), label_values(words, ID_LABEL)]
-    found = labels[0].select(*ON_PAGE).union(labels[1].select(*ON_PAGE)).union(labels[2].select(*ON_PAGE)).distinct().withColumn("_label", F.lit(True))
+    found = labelled_boxes(words, (NAME_LABEL, SPARE_LABEL)).select(*ON_PAGE).union(labelled_values(words, (ID_LABEL,)).select(*ON_PAGE)).distinct().withColumn("_label", F.lit(True))
     return pages.join(found, ON_PAGE, "left").select(*ON_PAGE, (has_pattern(F.col("page_text")) | F.coalesce("_label", F.lit(False))).alias("official"))
 
 
