@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import person_key, slug, strip
 from folio.operators import naming
 from folio.operators.registry import allocate_names
+from folio.sources.scratch import cut
 
 # The order in which folders are searched for a file.
 FOLDERS = ("archive", "unreadable", "manual split", "verify", "error", "unrelated", "split/original", "split")
@@ -49,10 +50,10 @@ def plan_actions(docs: DataFrame, processed: DataFrame, used: DataFrame, strict:
     rows = rows.join(rows.groupBy("_key").agg(F.min(F.when(marks, c("seq"))).alias("_first")), "_key")
     rows = rows.withColumn("_slug", slug(strip(c("name"))))
     planned = F.when(c("_before").isNotNull() | (c("seq") > c("_first")), "skipped").when(c("_slug") == "", "unreadable").when(F.lit(strict) & (c("agreement") < 2), "verify").otherwise("archive")
-    rows = rows.withColumn("kind", F.when(c("kind") == "plan", planned).otherwise(c("kind")))
+    rows = cut(rows.withColumn("kind", F.when(c("kind") == "plan", planned).otherwise(c("kind"))))  # read for the names, the targets and the first ones
     new = rows.where("kind in ('archive', 'verify')").select("seq", c("_slug").alias("slug"), F.lit(False).alias("used"))
     given = allocate_names(new.unionByName(used.select(F.lit(-1).cast("long").alias("seq"), c("name").alias("slug"), F.lit(True).alias("used")))).where("not used").select("seq", c("name").alias("_file"))
-    rows = rows.join(given, "seq", "left")
+    rows = cut(rows.join(given, "seq", "left"))
     file = F.coalesce(F.concat("_file", F.lit(".pdf")), c("source"))
     rows = rows.withColumn("_target", F.when(c("kind") != "skipped", file))
     firsts = rows.where("seq = _first").select(c("_key"), c("_target").alias("_earlier"))
@@ -116,7 +117,7 @@ def verify_merge(checked: DataFrame, pending: DataFrame, processed: DataFrame, q
     rows = checked.join(queue.select("file").distinct().withColumn("_there", F.lit(True)), "file", "left").join(original_names(checked, pending, processed), "file")
     rows = rows.withColumn("name", strip(F.coalesce("true_name", F.lit("")))).withColumn("_slug", slug(c("name")))
     kind = F.when(c("_there").isNull(), "not in the queue").when(c("name") == "", "unreadable").when(c("_slug") == "", "no file name").otherwise("archive")
-    rows = rows.withColumn("kind", kind)
+    rows = cut(rows.withColumn("kind", kind))
     event = lambda df, seq, step, name: df.select(seq.cast("long").alias("seq"), F.lit(step).alias("step"), name.alias("name"))
     named = rows.where("kind = 'archive'")
     events = event(named, c("seq"), naming.RELEASE, stem(c("file"))).unionByName(event(named, c("seq"), naming.REQUEST, c("_slug"))).unionByName(event(used, F.lit(-1), naming.USED, c("name")))

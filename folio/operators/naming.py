@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.sources.scratch import cut
+
 #: A family's rows are summed up in so many slices of their order, so that no task gets all rows of a large family.
 SLICES = 128
 RELEASE, REQUEST, USED = 0, 1, 2
@@ -24,6 +26,7 @@ def family(name: Column) -> Column:
 
 def running(rows: DataFrame, order: str, tie: str, value: str, name: str) -> DataFrame:
     """Column ``name``: the sum of ``value`` over a family's rows up to this one, in order of a number and then of ``tie``."""
+    rows = cut(rows)
     least, most = rows.agg(F.min(order), F.max(order)).first()
     if least is None:
         return rows.withColumn(name, F.lit(None).cast("long"))
@@ -80,11 +83,11 @@ def give_names(events: DataFrame) -> DataFrame:
     Rows go by seq and step: a name is released (0), asked for (1) or, in rows before all others, used already (2).
     A released name is free for the requests after it. Without requests there are no rows.
     """
-    rows = events.withColumn("family", family(F.col("name")))
+    rows = cut(events.withColumn("family", family(F.col("name"))))  # read several times below
     asked = F.count_if(F.col("step") == REQUEST)
     contested = F.bool_or((F.col("step") == RELEASE) | (F.col("step") == REQUEST) & (F.col("name") != F.col("family")))
     families = rows.groupBy("family").agg(asked.alias("_asked"), contested.alias("_contested")).where("_asked > 0").drop("_asked")
-    rows = rows.join(families, "family")
+    rows = cut(rows.join(families, "family"))
     plain = rows.where("not _contested")
     ranked = _by_rank(plain.where(F.col("step") == REQUEST).select("family", "seq", F.col("name").alias("slug")), plain.where(F.col("step") == USED).select("family", "name"))
     ordered = rows.where("_contested").select("family", "seq", "step", "name").repartition("family").sortWithinPartitions("family", "seq", "step")
