@@ -21,6 +21,12 @@ A meeting of more than ``BUCKET`` smaller sets isn't paired up at once. In ``ROU
 sets are compared with one of them, and those that link are settled. Then the components
 so far are found, and only pairs of different components are left, in steps of size ``FINE`` times as narrow: those with a
 set outside the meeting's largest component.
+
+Where those are more than ``BUCKET`` too (twice as many each further time), a meeting is dealt anew around a set c of shingles that most of a few of its sets have (c is no text's
+set, and any c gives the same links). With D the shingles of c that a set lacks and T those that are in one of both, what two sets have in common is
+|c| - |D| - |D'| + |T and T'|. So two sets either have enough in common by |D| and |D'| alone, and then both are
+linked to the meeting's set of least |D| + n similarity / (1 + similarity), with which all are compared; or they share something of T, and they meet there again, by
+as few of its shingles as that number leaves. What is still too large after ``LEVELS`` times is paired up as it is.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ from folio.llm.simhash_dedup import _LOWER, SEED, components
 SHINGLE, SIMILARITY, BUCKET, ROUNDS = 5, Fraction(4, 5), 32, 2
 #: Steps of size from a set to the largest that may be linked to it, and how many times as many where sets are still too many.
 STEPS, FINE = 2, 16
+#: How often a meeting is dealt anew, and about how many of its sets are asked for the shingles of most.
+LEVELS, ASKED = 3, 32
 #: Slices in which the sets of a large meeting are ranked.
 SLICES = 64
 #: One text of so many is in the sample; shingles with so many texts there come last, the most frequent ones up to a number.
@@ -75,8 +83,8 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
 
 
-def keyed_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
-    """(id, t, h, n, bins, keys): name and size of the set of each row (id, t, text), its shingles' numbers by part, and its first ones in the common order."""
+def common_order(docs: DataFrame, size: int):
+    """A function that puts a set's shingles into the order of all shingles: those that recur in a sample of the rows (id, text) last, the others by their hash."""
 
     def every(batches):
         for batch in batches:
@@ -88,13 +96,22 @@ def keyed_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     by_key = np.argsort(last.column(0).to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((last.column(0).to_numpy()[by_key], last.column(1).to_numpy()[by_key]))
 
-    def first(s):
+    def ordered(s):
         recurring, often = shared.value
+        if not len(recurring):
+            return s
+        at = np.minimum(np.searchsorted(recurring, s), len(recurring) - 1)
+        return s[np.argsort(np.where(recurring[at] == s, often[at], 0), kind="stable")]
+
+    return ordered
+
+
+def keyed_sets(docs: DataFrame, size: int, similarity: Fraction, ordered) -> DataFrame:
+    """(id, t, h, n, bins, keys): name and size of the set of each row (id, t, text), its shingles' numbers by part, and its first ones in the common order."""
+
+    def first(s):
         least = -(-len(s) * similarity.numerator // similarity.denominator)
-        if len(recurring):
-            at = np.minimum(np.searchsorted(recurring, s), len(recurring) - 1)
-            s = s[np.argsort(np.where(recurring[at] == s, often[at], 0), kind="stable")]
-        return s[: len(s) - least + 1]
+        return ordered(s)[: len(s) - least + 1]
 
     def rows(batches):
         for batch in batches:
@@ -104,12 +121,12 @@ def keyed_sets(docs: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     return _read(docs, "t").mapInArrow(rows, "id long, t long, h long, n long, bins array<short>, keys array<long>")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(h, s): the sets of the names in ``wanted``, cut anew from the rows with its ids and texts' hashes."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, ordered) -> DataFrame:
+    """(h, s): the sets of the names in ``wanted`` in the common order, cut anew from the rows with its ids and texts' hashes."""
 
     def rows(batches):
         for batch in batches:
-            found = [(h, s) for x, h in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True) if name(s := shingles(x.as_py() or b"", size)) == h]
+            found = [(h, ordered(s)) for x, h in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True) if name(s := shingles(x.as_py() or b"", size)) == h]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), _lists([s for _, s in found])], names=["h", "s"])
 
     chosen = wanted.select("h", F.col("id").alias("i"), F.col("t").alias("u"))
@@ -151,8 +168,8 @@ def meetings(keyed: DataFrame, similarity: Fraction, steps: int) -> tuple[DataFr
 
 def _paired(small: DataFrame, large: DataFrame, similarity: Fraction, on: list[str], *also) -> DataFrame:
     """Pairs (u, v) of a smaller and a larger set that meet and can be similar enough by what is left of them."""
-    x = small.withColumnsRenamed({"h": "x", "n": "nx", "left": "lx", "root": "rx"})
-    y = large.withColumnsRenamed({"h": "y", "n": "ny", "left": "ly", "root": "ry"})
+    x = small.withColumnsRenamed({"h": "x", "n": "nx", "left": "lx", "root": "rx", "beside": "bx", "e": "ex"})
+    y = large.withColumnsRenamed({"h": "y", "n": "ny", "left": "ly", "root": "ry", "beside": "by", "e": "ey"})
     num, den = similarity.numerator, similarity.denominator
     c = F.col
     order = (c("nx") < c("ny")) | ((c("nx") == c("ny")) & (c("x") < c("y")))
@@ -192,7 +209,65 @@ def _foremost(ranked: DataFrame, on: list[str]) -> DataFrame:
     return slices.withColumn("place", place).where(F.col("place") <= ROUNDS).drop("slice", "place")
 
 
-def roots(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similarity: Fraction = SIMILARITY, equal_rows: bool = False) -> DataFrame:
+def _outer(small: DataFrame, large: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs of different components, of which one is outside the largest of its meeting."""
+    c, inside = F.col, F.col("root") == F.col("largest")
+    also = (c("rx") != c("ry"), F.least("bx", "by") * (2 * (similarity.numerator + similarity.denominator)) >= c("ex") + c("ey"))
+    x, y = (lambda rows, where: rows.where(where).drop("largest")), F.lit(True)
+    return _paired(x(small, ~inside), x(large, y), similarity, ["meeting"], *also).unionByName(_paired(x(small, inside), x(large, ~inside), similarity, ["meeting"], *also))
+
+
+def _anew(small: DataFrame, large: DataFrame, whole: DataFrame, similarity: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (u, v) of each set of a meeting and the one nearest to what most of it have, and its smaller and larger sets where they meet again."""
+    num, den, c = similarity.numerator, similarity.denominator, F.col
+    both = small.withColumn("small", F.lit(True)).unionByName(large.withColumn("small", F.lit(False)))
+    members = materialize(both.groupBy("meeting", "h", "n", "root", "largest").agg(F.bool_or("small").alias("smaller"), F.bool_or(~c("small")).alias("larger")))
+    inside = members.where("root = largest")
+    share = inside.groupBy("meeting").agg(F.count("*").alias("members"))
+    asked = inside.join(share, "meeting").where(F.pmod(F.xxhash64("h", "meeting"), c("members")) < ASKED).select("meeting", "h")
+    votes = asked.join(whole, "h").select("meeting", F.explode("s").alias("shingle")).groupBy("meeting", "shingle").agg(F.count("*").alias("votes"))
+    most = votes.join(asked.groupBy("meeting").agg(F.count("*").alias("voters")), "meeting").where("2 * votes > voters")
+    most = materialize(most.groupBy("meeting").agg(F.collect_list("shingle").alias("most")))
+    lacks, more = F.array_except("most", "s"), F.array_except("s", "most")
+    most = members.join(whole, "h").join(most, "meeting", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+    e = 2 * (F.size(lacks).cast("long") * (num + den) + c("n") * num) - F.size("most").cast("long") * (num + den)
+    members = materialize(most.select(*members.columns, F.concat(more, F.array_sort(lacks)).alias("t"), e.alias("e")))
+    nearest = F.min_by(F.struct(c("h").alias("x"), c("root").alias("rx")), F.struct("e", "h")).alias("nearest")
+    of = materialize(members.groupBy("meeting").agg(nearest, F.min("e").alias("least"), F.min(F.when(c("root") != c("largest"), c("e"))).alias("least_outside")))
+    rows = members.join(of, "meeting")
+    near = rows.where((c("root") != c("nearest.rx")) & (c("h") != c("nearest.x"))).select(F.least("h", "nearest.x").alias("u"), F.greatest("h", "nearest.x").alias("v"))
+    size = F.size("t").cast("long")
+    least = F.greatest(F.lit(1), F.ceil((c("e") + F.when(c("root") == c("largest"), c("least_outside")).otherwise(c("least"))) / (2 * (num + den))))
+    first = F.slice("t", 1, F.greatest(size - least + 1, F.lit(0)).cast("int"))
+    rows = rows.select(*members.columns, F.posexplode(first).alias("at", "shingle"))
+    rows = rows.select(F.xxhash64("meeting", "shingle").alias("meeting"), "h", "n", c("n").alias("left"), "root", (size - c("at")).alias("beside"), "e", "smaller", "larger")
+    rows = materialize(rows)
+    return near, rows.where("smaller").drop("smaller", "larger"), rows.where("larger").drop("smaller", "larger")
+
+
+def _outside(small: DataFrame, large: DataFrame, whole: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs (u, v) to compare so that the components (column root) of all sets that meet become whole."""
+    found = []
+    for level in range(LEVELS + 1):
+        sizes = small.groupBy("meeting", "root").agg(F.count("*").alias("c"))
+        largest = materialize(sizes.groupBy("meeting").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
+        small, large = small.join(largest, "meeting"), large.join(largest, "meeting")
+        outside = [rows.where("root <> largest").groupBy("meeting").count().where(F.col("count") > (BUCKET << level)).select("meeting") for rows in (small, large)]
+        wide = materialize(outside[0].union(outside[1]).distinct())
+        if level == LEVELS or wide.isEmpty():
+            found.append(_outer(small, large, similarity))
+            break
+        narrow = lambda rows: rows.join(wide, "meeting", "left_anti")  # noqa: E731, B023
+        found.append(_outer(narrow(small), narrow(large), similarity))
+        near, small, large = _anew(small.join(wide, "meeting", "left_semi"), large.join(wide, "meeting", "left_semi"), whole, similarity)
+        found.append(near)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
+
+def roots(docs: DataFrame, classes: DataFrame, ordered, size: int = SHINGLE, similarity: Fraction = SIMILARITY, equal_rows: bool = False) -> DataFrame:
     """(node, root) of the distinct sets (h, id, t, n, bins, keys) that are linked to any.
 
     ``classes`` is a written table, which is deleted on the way.
@@ -212,7 +287,7 @@ def roots(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similarity:
         crowd = materialize(keyed.join(many.select("key").distinct(), "key", "left_semi"))
     wanted = pairs.select(F.col("u").alias("h")).union(pairs.select("v"))
     wanted = (wanted.union(crowd.select("h")) if crowded else wanted).distinct()
-    whole = whole_sets(docs, sets.select("h", "id", "t").join(wanted, "h", "left_semi"), size)
+    whole = whole_sets(docs, sets.select("h", "id", "t").join(wanted, "h", "left_semi"), size, ordered)
     whole = materialize(whole.dropDuplicates(["h"]) if equal_rows else whole)
     edges = materialize(_verified(pairs, whole, similarity))
     if not crowded:
@@ -225,15 +300,8 @@ def roots(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, similarity:
     found = materialize(components(edges))
     small, large = meetings(crowd, similarity, FINE * STEPS)
     rooted = lambda rows: rows.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    small, large = materialize(rooted(small)), materialize(rooted(large))
-    sizes = small.groupBy(*on, "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy(*on).agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-    small, large = small.join(largest, on), large.join(largest, on).drop("largest")
-    inside = F.col("root") == F.col("largest")
-    outer = _paired(small.where(~inside).drop("largest"), large, similarity, on, F.col("rx") != F.col("ry"))
-    beyond = large.join(largest, on).where(~inside).drop("largest")
-    outer = outer.unionByName(_paired(small.where(inside).drop("largest"), beyond, similarity, on))
-    last = check(outer.distinct())
+    met = lambda rows: rooted(rows).select(F.xxhash64(*on).alias("meeting"), "h", "n", "left", "root", F.col("left").alias("beside"), (2 * similarity.numerator * F.col("n")).alias("e"))
+    last = check(_outside(materialize(met(small)), materialize(met(large)), whole, similarity))
     return found if last.isEmpty() else components(edges.unionByName(last))
 
 
@@ -245,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each with the group of its own text. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    found = materialize(keyed_sets(docs, size, similarity))
+    ordered = common_order(docs, size)
+    found = materialize(keyed_sets(docs, size, similarity, ordered))
     rows = materialize(found.select("id", "t", "h"))
     equal_rows = not rows.groupBy("id", "t").count().where("count > 1").isEmpty()
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("x")
@@ -253,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(found.groupBy("h").agg(first, kept).select("h", "x.id", "x.t", "y.n", "y.bins", "y.keys"))
     discard(found)
     least = materialize(classes.select("h", "id"))
-    linked = roots(docs, classes, size, similarity, equal_rows).withColumnRenamed("node", "h")
+    linked = roots(docs, classes, ordered, size, similarity, equal_rows).withColumnRenamed("node", "h")
     least = least.join(linked, "h", "left").withColumn("root", F.coalesce("root", "h"))
     members = least.join(least.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("h", "component_id")
     return rows.join(members, "h").select(F.col("id").alias(id_col), "component_id", "t")

@@ -131,3 +131,18 @@ def test_large_groups_are_linked_without_all_pairs(spark, monkeypatch):
     rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {x.doc_id: x.component_id for x in rows} == {i: i % 2 if i < 2000 else i for i, _ in docs}
     assert sum(seen) < 200_000, seen
+
+
+def test_sets_beside_a_large_group_are_not_compared_with_all_of_it(spark, monkeypatch):
+    """400 copies of one text with an edit each, and 120 that lack 16 of its shingles; of those copies these are only like the ones that lack nothing else."""
+    seen = compared(monkeypatch)
+    r, base = random.Random(2), [f"c{i}" for i in range(150)]
+
+    def edited(i, *at):
+        return " ".join(f"e{i}x{k}" if k in at else word for k, word in enumerate(base))
+
+    docs = [(i, edited(i, r.randrange(5, 70))) for i in range(400)]
+    docs += [(400 + i, edited(400 + i, k := r.randrange(80, 105), k + 1, k + 12, k + 25)) for i in range(120)]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: x.component_id for x in rows} == groups(docs)
+    assert sum(seen) < 35_000, seen
