@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.sources.scratch import cut
+
 # Fixed value: the margin of a crop in points.
 MARGIN = 6.0
 
@@ -48,7 +50,7 @@ def label_work(gold: DataFrame, ids: DataFrame, id_boxes: DataFrame, registry_bo
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     last = ids.groupBy("doc_id").agg(F.max("page_no").alias("last_page"))
     complete = gold.where(~blank(F.col("national_id")) & ~blank(F.col("registry_no"))).select("doc_id").distinct()
-    todo = last.join(complete, "doc_id", "left_anti")
+    todo = cut(last.join(complete, "doc_id", "left_anti"))  # read several times below, like the id's crops
     pages = ids.join(todo.select("doc_id"), "doc_id")
     counts = pages.select("doc_id", F.explode("ids").alias("id")).groupBy("doc_id").agg(F.count_distinct("id").alias("n"))
 
@@ -58,7 +60,7 @@ def label_work(gold: DataFrame, ids: DataFrame, id_boxes: DataFrame, registry_bo
         return one.join(sizes, ["doc_id", "page_no"]).select("doc_id", F.lit(field).alias("field"), F.lit("crop").alias("kind"), F.col("page_no").alias("first_page"), F.col("page_no").alias("last_page"), crop.alias("box"))
 
     single = todo.select("doc_id").join(counts.where("n = 1").select("doc_id"), "doc_id")
-    id_crops = first_crops(id_boxes.join(single, "doc_id"), "id")
+    id_crops = cut(first_crops(id_boxes.join(single, "doc_id"), "id"))
     registry_crops = first_crops(registry_boxes.join(todo.select("doc_id"), "doc_id"), "registry")
 
     def whole(ranges: DataFrame, field: str) -> DataFrame:

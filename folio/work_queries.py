@@ -223,9 +223,11 @@ UNION ALL SELECT doc_id, 'id', 'pages', a, b, NULL, NULL, NULL FROM r UNION ALL
 @query(LABEL_SQL)
 def q_label_work(spark, d):
     from folio.operators.labelling import label_work
+    from folio.sources.scratch import cut
 
     on_page, c = ("l_orderkey", "l_linenumber"), F.col
     rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("doc_id"), c("l_linenumber").cast("int").alias("page_no"), draw("ids", 7, *on_page).alias("n"), draw("one", 3, *on_page).alias("i"), draw("many", 3, "l_orderkey").alias("m"), draw("lab", 3, *on_page).alias("lb"), draw("reg", 5, *on_page).alias("rg"), draw("x", 90, *on_page).cast("double").alias("x"), draw("y", 120, *on_page).cast("double").alias("y"))
+    rows = cut(rows)
     own = F.when(c("n") == 0, F.array(F.lit(0), c("i") + 1)).when(c("n") == 1, F.array(F.when(c("m") == 0, c("i")).otherwise(0))).otherwise(F.expr("cast(array() as array<int>)"))
     ids = rows.select("doc_id", "page_no", F.transform(own, lambda x: x.cast("string")).alias("ids"))
     box = F.struct(c("x").alias("x0"), c("y").alias("y0"), (c("x") + 30).alias("x1"), (c("y") + 10).alias("y1"))

@@ -8,3 +8,8 @@ SF = "/root/testdata/sf0.001"
 def test_plan_reads_its_documents_from_what_was_written(spark):
     found = queries.queries()["q_plan_actions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FileScan" not in found
+
+
+def test_label_work_reads_its_pages_from_what_was_written(spark):
+    found = queries.queries()["q_label_work"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in found
