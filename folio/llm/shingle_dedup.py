@@ -17,6 +17,10 @@ one in all steps that it may be paired with; and the smaller set only has keys t
 n - ceil(2 n * similarity / (1 + similarity)) + 1. Texts that have all but a ninth of their shingles in common are linked, so
 boilerplate, which is last in the order, is no key of the smaller set unless it links the texts by itself.
 
+SimHash comes first: each set has a fingerprint of its shingles, fingerprints within two bits are found through the tables of their distances
+to reference fingerprints (``simhash_dedup.links``), and the sets behind them are candidates, verified like all others. Two texts of similarity 0.8 often
+differ in more bits, so the search by shared shingles follows, which finds every pair.
+
 A meeting of more than ``BUCKET`` smaller sets isn't paired up at once. In ``ROUNDS`` rounds its
 sets are compared with one of them, and those that link are settled. Then the components
 so far are found, and only pairs of different components are left, in steps of size ``FINE`` times as narrow: those with a
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import broadcast_if_small, discard, materialize, small_batches
-from folio.llm.simhash_dedup import _LOWER, SEED, components
+from folio.llm.simhash_dedup import _LOWER, SEED, components, links, majority
 
 SHINGLE, SIMILARITY, BUCKET, ROUNDS = 5, Fraction(4, 5), 32, 2
 #: Steps of size from a set to the largest that may be linked to it, and how many times as many where sets are still too many.
@@ -69,6 +73,11 @@ def name(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set as a signed long: the bits set in over half of its shingles' hashes."""
+    return int(np.uint64(majority(found.view(np.uint8).reshape(-1, 8))).view(np.int64))
+
+
 def binned(found: np.ndarray) -> np.ndarray | None:
     counts = np.bincount(found.view(np.uint64) // np.uint64((1 << 64) // BINS), minlength=BINS)
     return counts.astype(np.int16) if counts.max() <= MOST else None
@@ -107,7 +116,7 @@ def common_order(docs: DataFrame, size: int):
 
 
 def keyed_sets(docs: DataFrame, size: int, similarity: Fraction, ordered) -> DataFrame:
-    """(id, t, h, n, bins, keys): name and size of the set of each row (id, t, text), its shingles' numbers by part, and its first ones in the common order."""
+    """(id, t, h, fp, n, bins, keys): name, fingerprint and size of the set of each row (id, t, text), its shingles' numbers by part, and its first ones in the common order."""
 
     def first(s):
         least = -(-len(s) * similarity.numerator // similarity.denominator)
@@ -116,9 +125,9 @@ def keyed_sets(docs: DataFrame, size: int, similarity: Fraction, ordered) -> Dat
     def rows(batches):
         for batch in batches:
             found = [shingles(x.as_py() or b"", size) for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([name(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([binned(s) for s in found], pa.list_(pa.int16())), _lists([first(s) for s in found])], names=["id", "t", "h", "n", "bins", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([name(s) for s in found], pa.int64()), pa.array([fingerprint(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([binned(s) for s in found], pa.list_(pa.int16())), _lists([first(s) for s in found])], names=["id", "t", "h", "fp", "n", "bins", "keys"])
 
-    return _read(docs, "t").mapInArrow(rows, "id long, t long, h long, n long, bins array<short>, keys array<long>")
+    return _read(docs, "t").mapInArrow(rows, "id long, t long, h long, fp long, n long, bins array<short>, keys array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, ordered) -> DataFrame:
@@ -150,6 +159,15 @@ def _verified(pairs: DataFrame, whole: DataFrame, similarity: Fraction) -> DataF
     return pairs.join(u, "u").join(v, "v").where(enough).select("u", "v")
 
 
+def near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the sets (h, fp) to compare by their fingerprints: each with the first one of its own, and the first ones of two that link."""
+    first = materialize(sets.groupBy("fp").agg(F.min("h").alias("first")))
+    same = sets.join(first, "fp").where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"))
+    of = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}h"))
+    linked = links(first.select("fp")).join(of("u"), "u").join(of("v"), "v")
+    return same.unionByName(linked.select(F.least("uh", "vh").alias("u"), F.greatest("uh", "vh").alias("v")))
+
+
 def _step(n, similarity: Fraction, steps: int):
     return F.floor(F.log(n.cast("double")) * (steps / math.log(similarity.denominator / similarity.numerator)))
 
@@ -268,20 +286,22 @@ def _outside(small: DataFrame, large: DataFrame, whole: DataFrame, similarity: F
 
 
 def roots(docs: DataFrame, classes: DataFrame, ordered, size: int = SHINGLE, similarity: Fraction = SIMILARITY, equal_rows: bool = False) -> DataFrame:
-    """(node, root) of the distinct sets (h, id, t, n, bins, keys) that are linked to any.
+    """(node, root) of the distinct sets (h, id, t, fp, n, bins, keys) that are linked to any.
 
     ``classes`` is a written table, which is deleted on the way.
     """
     keyed = classes.select("h", "n", F.posexplode("keys").alias("at", "key")).select("key", "h", "n", (F.col("n") - F.col("at")).alias("left"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     keyed = materialize(keyed.join(shared, "key", "left_semi"))
-    sets = materialize(classes.drop("keys").join(keyed.select("h").distinct(), "h", "left_semi"))
+    sets = materialize(classes.drop("keys", "fp").join(keyed.select("h").distinct(), "h", "left_semi"))
+    near = materialize(near_fingerprints(classes.select("h", "fp")))
     discard(classes)
     small, large = meetings(keyed, similarity, STEPS)
     on = ["key", "step"]
     met = materialize(small.groupBy(*on).agg(F.count("*").alias("smaller")))
     few, many = met.where(F.col("smaller") <= BUCKET).select(*on), met.where(F.col("smaller") > BUCKET).select(*on)
-    pairs = materialize(_possible(_paired(small.join(few, on, "left_semi"), large, similarity, on).distinct(), sets, similarity))
+    pairs = near.unionByName(_paired(small.join(few, on, "left_semi"), large, similarity, on)).distinct()
+    pairs = materialize(_possible(pairs, sets, similarity))
     crowded = not many.isEmpty()
     if crowded:
         crowd = materialize(keyed.join(many.select("key").distinct(), "key", "left_semi"))
@@ -318,8 +338,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(found.select("id", "t", "h"))
     equal_rows = not rows.groupBy("id", "t").count().where("count > 1").isEmpty()
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("x")
-    kept = F.first(F.struct("n", "bins", "keys")).alias("y")  # equal in all rows of a set
-    classes = materialize(found.groupBy("h").agg(first, kept).select("h", "x.id", "x.t", "y.n", "y.bins", "y.keys"))
+    kept = F.first(F.struct("fp", "n", "bins", "keys")).alias("y")  # equal in all rows of a set
+    classes = materialize(found.groupBy("h").agg(first, kept).select("h", "x.id", "x.t", "y.fp", "y.n", "y.bins", "y.keys"))
     discard(found)
     least = materialize(classes.select("h", "id"))
     linked = roots(docs, classes, ordered, size, similarity, equal_rows).withColumnRenamed("node", "h")

@@ -35,6 +35,14 @@ GROUPS = [(0, 6), (6, 6), (12, 5), (17, 5), (22, 5), (27, 5)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def majority(digests: np.ndarray) -> int:
+    """Bits set in over half of the digests, rows of eight bytes; none for no rows."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(digests), 250):  # sums of up to 250 bits fit a byte
+        counts += np.unpackbits(digests[at : at + 250], axis=1).sum(axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
+
+
 def fingerprint(text: bytes) -> int:
     """SimHash of one UTF-8 text: bits set in over half of its shingles' hashes."""
     words = text.translate(_LOWER).split()
@@ -43,11 +51,7 @@ def fingerprint(text: bytes) -> int:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     digest, join = xxhash.xxh64_digest, b" ".join
     hashes = b"".join([digest(join(x), SEED) for x in zip(words, words[1:], words[2:])])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 250):  # sums of up to 250 bits fit a byte
-        counts += bits[at : at + 250].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return majority(np.frombuffer(hashes, np.uint8).reshape(n, 8))
 
 
 def _fingerprints(batches):

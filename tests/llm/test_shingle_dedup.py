@@ -146,3 +146,25 @@ def test_sets_beside_a_large_group_are_not_compared_with_all_of_it(spark, monkey
     rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
     assert {x.doc_id: x.component_id for x in rows} == groups(docs)
     assert sum(seen) < 35_000, seen
+
+
+def test_fingerprints_link_by_themselves_what_is_within_two_bits(spark, monkeypatch):
+    """SimHash and its tables of distances, without any pair from shared shingles: all and only the pairs of long texts within two bits that are similar enough."""
+    import folio.llm.shingle_dedup as s
+
+    r, docs, paired = random.Random(5), [], s._paired
+    for g in range(12):
+        base = [f"g{g}w{r.randrange(400)}" for _ in range(600)]
+        docs += [(10 * g + i, " ".join([*base[:300], *[f"e{g}x{i}"] * (i > 0), *base[300:]])) for i in range(4)]
+        docs.append((10 * g + 4, " ".join(w if k % 60 else f"f{g}" for k, w in enumerate(base))))
+    fps = {i: s.fingerprint(s.shingles(t.encode())) & (1 << 64) - 1 for i, t in docs}
+    root = {i: i for i in fps}
+    for j in sorted(fps):
+        for i in [i for i in fps if i < j and i // 10 == j // 10 and (fps[i] ^ fps[j]).bit_count() <= 2]:
+            root = {k: min(root[i], root[j]) if x in (root[i], root[j]) else x for k, x in root.items()}
+    monkeypatch.setattr(s, "_paired", lambda *args: paired(*args).limit(0))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_duplicates(table).collect()} == root
+    assert 20 < len(set(root.values())) < 60
+    monkeypatch.undo()
+    assert {x.doc_id: x.component_id for x in near_duplicates(table).collect()} == groups(docs) == {i: i // 10 * 10 for i, _ in docs}
