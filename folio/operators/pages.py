@@ -69,26 +69,28 @@ def owner_letters(pages: DataFrame, primary: Column | None = None) -> DataFrame:
     return pages.join(letters, ["doc_id", "owner"], "left").withColumn("letter", F.coalesce("letter", F.lit("?")))
 
 
-def name_owners(pages: DataFrame, primary: str | Column, primary_name: str | Column) -> DataFrame:
+def name_owners(pages: DataFrame, primary: str | Column, primary_name: str | Column, tasks: int | None = None) -> DataFrame:
     """Owners by name where ids give none: pages have owner, page_kind and name (normalised; null and empty ones count for nothing).
 
     Attachments take their owners first. Of the pages still without one that have a name and aren't suspicious, those named like
     the primary person are that person's; the first other name is the second person, and pages named like
     it get this name as owner. Names are alike by ``votes.same_person``. A document without a primary name stays as it is.
+    Pages are dealt by document anew after each comparison of names, to ``tasks`` partitions if given.
     """
+    dealt = lambda rows: rows.repartition(tasks, "doc_id") if tasks else rows
     who, name = (F.lit(x) if isinstance(x, str) else x for x in (primary, primary_name))
     whole = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = fill_owners(pages.withColumn("_who", who).withColumn("_first", normalize(F.coalesce(name, F.lit("")))))
     open_ = F.col("filled").isNull() & (F.col("page_kind") != "suspicious") & (F.col("name") != "") & (F.col("_first") != "")
     rows = rows.withColumn("_open", F.when(open_, F.col("name")))
     rows = rows.withColumn("_is_first", same_person("_open", F.when(F.col("_open").isNotNull(), F.col("_first"))))
-    rows = rows.withColumn("_second", F.first(F.when(~F.col("_is_first"), F.col("_open")), True).over(whole))
+    rows = dealt(rows).withColumn("_second", F.first(F.when(~F.col("_is_first"), F.col("_open")), True).over(whole))
     second = F.when(F.col("_is_first"), F.lit(False)).otherwise(same_person(F.when(~F.col("_is_first"), F.col("_open")), "_second"))
     owner = F.coalesce("filled", F.when(F.col("_is_first"), F.col("_who")).when(second, F.concat(F.lit(BY_NAME), "_second")))
-    return rows.withColumn("owner", owner).drop("filled", "_who", "_first", "_open", "_is_first", "_second")
+    return dealt(rows.withColumn("owner", owner).drop("filled", "_who", "_first", "_open", "_is_first", "_second"))
 
 
-def split_plan(pages: DataFrame, primary: str | Column = "A", primary_name: str | Column | None = None) -> DataFrame:
+def split_plan(pages: DataFrame, primary: str | Column = "A", primary_name: str | Column | None = None, tasks: int | None = None) -> DataFrame:
     """map, second, n_blocks, splittable and reason of each document from pages with owner and page_kind.
 
     The map is the one after attachments have taken their owners. A suspicious page stops
@@ -98,7 +100,7 @@ def split_plan(pages: DataFrame, primary: str | Column = "A", primary_name: str
     """
     who = F.lit(primary) if isinstance(primary, str) else primary
     named = primary_name is not None
-    pages = name_owners(pages, who, primary_name) if named else pages
+    pages = name_owners(pages, who, primary_name, tasks) if named else pages
     w = Window.partitionBy("doc_id").orderBy("page_no")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -122,7 +124,7 @@ def split_plan(pages: DataFrame, primary: str | Column = "A", primary_name: str
     return plan.select("doc_id", "map", "second", "n_blocks", (reason == "").alias("splittable"), reason.alias("reason"))
 
 
-def document_analysis(fields: DataFrame, multi: DataFrame, pages: DataFrame) -> DataFrame:
+def document_analysis(fields: DataFrame, multi: DataFrame, pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """doc_id, name, national_id, registry_no, multi, primary, and the split plan's map, second, splittable and reason.
 
     fields is what extraction or reconciliation gives, multi has doc_id and multi, pages what ``split_plan`` reads. Only documents of several
@@ -133,7 +135,7 @@ def document_analysis(fields: DataFrame, multi: DataFrame, pages: DataFrame) ->
     rows = fields.select("doc_id", "name", "national_id", "registry_no").join(multi.select("doc_id", "multi"), "doc_id", "left").withColumn("multi", several)
     rows = rows.withColumn("primary", F.when(F.col("multi"), F.coalesce(F.nullif("national_id", F.lit("")), by_name)))
     wanted = rows.where("primary is not null").select("doc_id", "primary", F.col("name").alias("_primary_name"))
-    plan = split_plan(pages.select("doc_id", "page_no", "owner", "page_kind", "name").join(wanted, "doc_id"), F.col("primary"), F.col("_primary_name"))
+    plan = split_plan(pages.select("doc_id", "page_no", "owner", "page_kind", "name").join(wanted, "doc_id"), F.col("primary"), F.col("_primary_name"), tasks)
     return rows.join(plan.select("doc_id", "map", "second", "splittable", "reason"), "doc_id", "left")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,22 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+#: Rows of pages that one task sorts; a row may grow to some hundred bytes and be sorted twice.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """Partitions that hold ``TASK_ROWS`` rows at most where keys are even, so that a task's memory doesn't grow with the table; one for each core at least."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder as compressed columns and read back; later reads take only the columns and rows that they need."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed and written to the shared folder, so that what follows neither repeats it nor loses it with an executor."""
     context = df.sparkSession.sparkContext

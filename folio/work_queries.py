@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import pages as P
 from folio.queries import query, table
+from folio.sources.scratch import tasks_for
 
 
 def draw(salt: str, n: int, *keys: str) -> Column:
@@ -72,17 +73,19 @@ CASE WHEN t < 5 AND o > 2 THEN 'attachment' WHEN t = 5 AND o > 2 THEN 'suspiciou
 CASE WHEN nm < 4 THEN {misread_sql(person_sql('p'), 'rd')} WHEN nm < 7 THEN {misread_sql(person_sql('s'), 'rd')} WHEN nm = 7 THEN {person_sql('s + 5')} ELSE '' END AS name FROM drawn)"""
 
 
-def named_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with owner, page_kind and name, and their document's prime (the primary owner) and primary_name."""
+def named_pages(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Pages with owner, page_kind and name, and their document's prime (the primary owner) and primary_name; and the number of tasks that they are dealt to."""
     key = F.col("o_orderkey")
     docs = table(spark, d, "orders").select(key.alias("l_orderkey"), draw("who", 80, "o_orderkey").alias("p"), draw("apart", 3, "o_orderkey").alias("ap"), draw("known", 5, "o_orderkey").alias("kn"))
     docs = docs.withColumn("s", F.col("p") + F.element_at(F.array(F.lit(1), F.lit(8), F.lit(31)), F.col("ap") + 1))
     on_page = ("l_orderkey", "l_linenumber")
-    rows = docs.join(table(spark, d, "lineitem").select(*on_page), "l_orderkey")
+    lines = table(spark, d, "lineitem").select(*on_page)
+    tasks = tasks_for(lines)  # keys are few bytes, so partitions by size would hold millions of pages, which are wide once drawn
+    rows = docs.repartition(tasks, "l_orderkey").join(lines.repartition(tasks, "l_orderkey"), "l_orderkey")
     rows = rows.withColumns({"o": draw("owner", 12, *on_page), "t": draw("kind", 24, *on_page), "nm": draw("name", 10, *on_page), "rd": draw("read", 9, *on_page)})
     c, by_name = F.col, F.col("kn") == 4
     own = person(c("p"))
-    return rows.select(
+    pages = rows.select(
         c("l_orderkey").alias("doc_id"),
         c("l_linenumber").cast("long").alias("page_no"),
         F.when(c("kn") > 0, own).otherwise("").alias("primary_name"),
@@ -91,6 +94,7 @@ def named_pages(spark: SparkSession, d: str) -> DataFrame:
         F.when((c("t") < 5) & (c("o") > 2), "attachment").when((c("t") == 5) & (c("o") > 2), "suspicious").otherwise("owned").alias("page_kind"),
         F.when(c("nm") < 4, misread(own, c("rd"))).when(c("nm") < 7, misread(person(c("s")), c("rd"))).when(c("nm") == 7, person(c("s") + 5)).otherwise("").alias("name"),
     )
+    return pages, tasks
 
 
 # Ratio of matching runs: the longest run of both (the first one in a, then in b), and so on left and right of it.
@@ -124,17 +128,18 @@ found AS (SELECT doc_id, "map", second, n_blocks, CASE WHEN odd > 0 THEN 'suspic
 
 @query(SPLIT_NAMES_SQL + """SELECT doc_id, "map", second, n_blocks, reason = '' AS splittable, reason FROM found""")
 def q_split_names(spark, d):
-    return P.split_plan(named_pages(spark, d), F.col("prime"), F.col("primary_name"))
+    pages, tasks = named_pages(spark, d)
+    return P.split_plan(pages, F.col("prime"), F.col("primary_name"), tasks)
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
-    pages = named_pages(spark, d)
+    pages, tasks = named_pages(spark, d)
     key = F.col("o_orderkey")
     draws = table(spark, d, "orders").select(key.alias("doc_id"), draw("who", 80, "o_orderkey").alias("p"), draw("known", 5, "o_orderkey").alias("kn"), draw("several", 3, "o_orderkey").alias("sv"))
     name = F.when(F.col("kn") > 0, person(F.col("p"))).otherwise("")
     fields = draws.select("doc_id", name.alias("name"), F.when(F.col("kn") == 4, "").otherwise("1").alias("national_id"), F.lit("").alias("registry_no"))
     multi = draws.where("sv < 2").select("doc_id", (F.col("sv") == 1).alias("multi"))
-    return P.document_analysis(fields, multi, pages)
+    return P.document_analysis(fields, multi, pages, tasks)
 
 
 @query(
