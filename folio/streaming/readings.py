@@ -18,6 +18,8 @@ from folio.functions.text import normalize, strip
 from folio.operators.votes import READINGS, consensus
 
 SCHEMA = "doc_id {id}, page_no {page}, value string, error string"
+#: What a round's folder holds besides: the page's place, and how many readings its document had before the round.
+STATE = ("place", "_got")
 
 
 def readable(pages: DataFrame, blank: Column, box: Column) -> DataFrame:
@@ -31,10 +33,10 @@ def _folder(spark: SparkSession, path: str):
     return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _is_whole(spark: SparkSession, path: str) -> bool:
-    """Whether a round was written to its end."""
-    path, files = _folder(spark, f"{path}/_SUCCESS")
-    return files.exists(path)
+def _is_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a round was written to its end, with what the next one goes by."""
+    path, files = _folder(spark, f"{folder}/_SUCCESS")
+    return files.exists(path) and set(STATE) <= set(spark.read.parquet(folder).columns)
 
 
 def _reading(make_reader: Callable[[], Callable[[dict], str]], columns: list[str]):
@@ -52,7 +54,7 @@ def _reading(make_reader: Callable[[], Callable[[dict], str]], columns: list[str
                     value, error = "", f"{type(e).__name__}: {e}"
                 values.append(value)
                 errors.append(error)
-            yield batch[["doc_id", "page_no"]].assign(value=pd.Series(values, dtype=object), error=pd.Series(errors, dtype=object))
+            yield batch[["doc_id", "page_no"]].assign(value=pd.Series(values, dtype=object), error=pd.Series(errors, dtype=object), **{c: batch[c] for c in STATE})
 
     return read
 
@@ -63,23 +65,30 @@ def read_in_rounds(pages: DataFrame, make_reader: Callable[[], Callable[[dict],
     ``make_reader`` is called once for each task and gives a function of a row (all columns of pages, as a dict) to a text. Null and blank texts, and pages on which it
     fails, count as empty: the document goes on with its next page. Values are normalised. ``path`` keeps a folder for each round and must be one
     that all executors share; a folder that an earlier run has written to its end isn't read again.
+
+    A round only looks at the documents of the round before and at the places that are still to come: the first one reads ``most`` pages of
+    a document and each later one at least one.
     """
     spark, kinds = pages.sparkSession, dict(pages.dtypes)
     schema = SCHEMA.format(id=kinds["doc_id"], page=kinds["page_no"])
-    done, k = spark.createDataFrame([], schema), 0
+    with_state = f"{schema}, place int, _got long"
+    done, last, k = spark.createDataFrame([], schema), None, 0
     while True:
         folder = f"{path}/round={k}"
         if not _is_whole(spark, folder):
-            seen = done.groupBy("doc_id").agg(F.count("*").alias("_seen"), F.count_if(F.col("value") != "").alias("_got"))
-            open_ = pages if k == 0 else pages.join(seen.where(F.col("_got") < most), "doc_id")
-            first = F.lit(0) if k == 0 else F.col("_seen")
-            wanted = open_.where((F.col("place") > first) & (F.col("place") <= first + most - (F.lit(0) if k == 0 else F.col("_got"))))
-            read = wanted.select(*pages.columns).mapInPandas(_reading(make_reader, pages.columns), schema)
+            if last is None:
+                wanted = pages.where((F.col("place") > 0) & (F.col("place") <= most)).withColumn("_got", F.lit(0).cast("long"))
+            else:
+                got = F.max("_got") + F.count_if(F.col("value") != "")
+                open_ = last.groupBy("doc_id").agg(F.max("place").alias("_seen"), got.alias("_got")).where(F.col("_got") < most)
+                wanted = pages.where(F.col("place") > most + k - 1).join(open_, "doc_id")
+                wanted = wanted.where((F.col("place") > F.col("_seen")) & (F.col("place") <= F.col("_seen") + most - F.col("_got")))
+            read = wanted.select(*pages.columns, "_got").mapInPandas(_reading(make_reader, pages.columns), with_state)
             read.withColumn("value", F.when(strip(F.col("value")) == "", F.lit("")).otherwise(normalize(F.col("value")))).write.mode("overwrite").parquet(folder)
-        found = spark.read.schema(schema).parquet(folder)
-        if found.isEmpty():
+        last = spark.read.schema(with_state).parquet(folder)
+        if last.isEmpty():
             return done
-        done, k = done.unionByName(found), k + 1
+        done, k = done.unionByName(last.drop(*STATE)), k + 1
 
 
 def read_and_vote(pages: DataFrame, make_reader: Callable[[], Callable[[dict], str]], path: str, most: int = READINGS) -> DataFrame:

@@ -200,14 +200,15 @@ def _page_reader():
 def q_reading_rounds(spark, d):
     import uuid
 
-    from folio.sources.scratch import cut, shared_folder
+    from folio.sources.scratch import shared_folder, written
     from folio.streaming.readings import read_in_rounds, readable
 
     on_page = ("l_orderkey", "l_linenumber")
     name = misread(person(draw("of", 80, "l_orderkey")), draw("read", 9, *on_page))
-    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page_no"), draw("blank", 8, *on_page).alias("blank"), draw("box", 6, *on_page).alias("box"), draw("text", 6, *on_page).alias("t"), name.alias("nm"))
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page_no"), draw("blank", 8, *on_page).alias("blank"), draw("box", 6, *on_page).alias("box"), F.col("l_orderkey"), F.col("l_linenumber"))
     wanted = readable(pages, F.col("blank") == 0, F.when(F.col("box") > 0, F.col("box")))
-    return read_in_rounds(cut(wanted), _page_reader, f"{shared_folder(spark)}/readings-{uuid.uuid4().hex}", MOST_READ)
+    wanted = wanted.select("doc_id", "page_no", "place", draw("text", 6, *on_page).alias("t"), name.alias("nm"))  # drawn once places are numbered, so that keys alone are dealt
+    return read_in_rounds(written(wanted), _page_reader, f"{shared_folder(spark)}/readings-{uuid.uuid4().hex}", MOST_READ)
 
 
 # ---- labelling and evaluation ----------------------------------------------------------------

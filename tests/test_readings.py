@@ -75,3 +75,11 @@ def test_votes_and_empty_tables(spark, tmp_path):
     make = lambda: lambda row: row["text"]
     assert [tuple(r) for r in read_and_vote(pages, make, str(tmp_path / "one"), 2).collect()] == [("a", "ALİ", 2, "ALİ")]
     assert read_in_rounds(pages.limit(0), make, str(tmp_path / "two")).collect() == []
+
+
+def test_a_round_keeps_what_the_next_one_goes_by(spark, tmp_path):
+    """A round's folder holds each page's place and its document's readings so far, so that the next one needs no earlier round."""
+    pages = spark.createDataFrame([("a", p, p, "ALİ" if p == 2 else "") for p in range(1, 4)], "doc_id string, page_no int, place int, text string")
+    read_in_rounds(pages, lambda: lambda row: row["text"], str(tmp_path / "rounds"), 2)
+    second = spark.read.parquet(str(tmp_path / "rounds" / "round=1")).select("page_no", "place", "_got").collect()
+    assert [tuple(r) for r in second] == [(3, 3, 1)]
