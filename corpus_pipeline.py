@@ -35,13 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one id stay or go together, and they stay if one of them is its group's first. Rows with a null id stay only if
     no row of their group has an id, all of them then.
     """
-    repeated = broadcast_if_small(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     docs = docs.select(*COLUMNS)
-    docs = docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated)
+        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     groups = materialize(shingle_dedup.near_duplicates(docs))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     nameless = groups.where("doc_id is null and component_id is null").select("t").distinct()
-    gone = groups.where("doc_id is not null").select("doc_id").distinct().join(first, "doc_id", "left_anti")  # fewer than those that stay
+    gone = materialize(groups.where("doc_id is not null").select("doc_id").distinct().join(first, "doc_id", "left_anti"))  # fewer than those that stay
     stays = docs.where("doc_id is not null").join(broadcast_if_small(gone), "doc_id", "left_anti")
     return stays.unionByName(docs.where("doc_id is null").join(nameless, F.xxhash64("text") == F.col("t"), "left_semi"))
 

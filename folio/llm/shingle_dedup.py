@@ -31,6 +31,9 @@ set, and any c gives the same links). With D the shingles of c that a set lacks
 |c| - |D| - |D'| + |T and T'|. So two sets either have enough in common by |D| and |D'| alone, and then both are
 linked to the meeting's set of least |D| + n similarity / (1 + similarity), with which all are compared; or they share something of T, and they meet there again, by
 as few of its shingles as that number leaves. What is still too large after ``LEVELS`` times is paired up as it is.
+
+Pairs are written before they are looked up, compared or joined with others: the driver holds each query's plan, its small joined tables and
+the news of its tasks, so many short queries leave it more room than a few long ones.
 """
 
 from __future__ import annotations
@@ -164,7 +167,7 @@ def near_fingerprints(sets: DataFrame) -> DataFrame:
     first = materialize(sets.groupBy("fp").agg(F.min("h").alias("first")))
     same = sets.join(first, "fp").where("h <> first").select(F.col("first").alias("u"), F.col("h").alias("v"))
     of = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"{x}h"))
-    linked = links(first.select("fp")).join(of("u"), "u").join(of("v"), "v")
+    linked = materialize(links(first.select("fp"))).join(of("u"), "u").join(of("v"), "v")
     return same.unionByName(linked.select(F.least("uh", "vh").alias("u"), F.greatest("uh", "vh").alias("v")))
 
 
@@ -211,7 +214,7 @@ def _settle(small: DataFrame, large: DataFrame, similarity: Fraction, check) ->
     for k in range(ROUNDS):
         centre = centres.where(F.col("round") == k).drop("round")
         pairs = _paired(centre, large, similarity, on).unionByName(_paired(small, centre, similarity, on))
-        found.append(check(pairs.distinct()))
+        found.append(check(materialize(pairs.distinct())))
         if k + 1 < ROUNDS:
             of = centre.select(*on, F.col("h").alias("centre"))
             linked = found[-1].union(found[-1].select("v", "u")).toDF("h", "centre").withColumn("linked", F.lit(True))
@@ -268,17 +271,18 @@ def _outside(small: DataFrame, large: DataFrame, whole: DataFrame, similarity: F
     found = []
     for level in range(LEVELS + 1):
         sizes = small.groupBy("meeting", "root").agg(F.count("*").alias("c"))
-        largest = materialize(sizes.groupBy("meeting").agg(F.max_by("root", F.struct("c", "root")).alias("largest")))
-        small, large = small.join(largest, "meeting"), large.join(largest, "meeting")
-        outside = [rows.where("root <> largest").groupBy("meeting").count().where(F.col("count") > (BUCKET << level)).select("meeting") for rows in (small, large)]
-        wide = materialize(outside[0].union(outside[1]).distinct())
-        if level == LEVELS or wide.isEmpty():
-            found.append(_outer(small, large, similarity))
+        largest = materialize(sizes.groupBy("meeting").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), (F.sum("c") - F.max("c")).alias("outside")))
+        beyond = large.join(largest, "meeting").where("root <> largest").groupBy("meeting").agg(F.count("*").alias("beyond"))
+        wide = F.greatest("outside", F.coalesce("beyond", F.lit(0))) > (BUCKET << level)
+        marked = materialize(largest.join(beyond, "meeting", "left").select("meeting", "largest", wide.alias("wide")))
+        small, large = (materialize(rows.join(marked, "meeting")) for rows in (small, large))
+        if level == LEVELS or marked.where("wide").isEmpty():
+            found.append(materialize(_outer(small.drop("wide"), large.drop("wide"), similarity)))
             break
-        narrow = lambda rows: rows.join(wide, "meeting", "left_anti")  # noqa: E731, B023
-        found.append(_outer(narrow(small), narrow(large), similarity))
-        near, small, large = _anew(small.join(wide, "meeting", "left_semi"), large.join(wide, "meeting", "left_semi"), whole, similarity)
-        found.append(near)
+        of = lambda rows, where: rows.where(where).drop("wide")
+        found.append(materialize(_outer(of(small, "not wide"), of(large, "not wide"), similarity)))
+        near, small, large = _anew(of(small, "wide"), of(large, "wide"), whole, similarity)
+        found.append(materialize(near))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
@@ -300,7 +304,7 @@ def roots(docs: DataFrame, classes: DataFrame, ordered, size: int = SHINGLE, sim
     on = ["key", "step"]
     met = materialize(small.groupBy(*on).agg(F.count("*").alias("smaller")))
     few, many = met.where(F.col("smaller") <= BUCKET).select(*on), met.where(F.col("smaller") > BUCKET).select(*on)
-    pairs = near.unionByName(_paired(small.join(few, on, "left_semi"), large, similarity, on)).distinct()
+    pairs = materialize(near.unionByName(_paired(small.join(few, on, "left_semi"), large, similarity, on)).distinct())
     pairs = materialize(_possible(pairs, sets, similarity))
     crowded = not many.isEmpty()
     if crowded:
@@ -313,7 +317,7 @@ def roots(docs: DataFrame, classes: DataFrame, ordered, size: int = SHINGLE, sim
     if not crowded:
         return components(edges)
 
-    check = lambda pairs: materialize(_verified(_possible(pairs, sets, similarity), whole, similarity))
+    check = lambda pairs: materialize(_verified(materialize(_possible(pairs, sets, similarity)), whole, similarity))
     settled = _settle(small.join(many, on, "left_semi"), large.join(many, on, "left_semi"), similarity, check)
     for more in settled:
         edges = edges.unionByName(more)
@@ -321,8 +325,8 @@ def roots(docs: DataFrame, classes: DataFrame, ordered, size: int = SHINGLE, sim
     small, large = meetings(crowd, similarity, FINE * STEPS)
     rooted = lambda rows: rows.join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     met = lambda rows: rooted(rows).select(F.xxhash64(*on).alias("meeting"), "h", "n", "left", "root", F.col("left").alias("beside"), (2 * similarity.numerator * F.col("n")).alias("e"))
-    last = check(_outside(materialize(met(small)), materialize(met(large)), whole, similarity))
-    return found if last.isEmpty() else components(edges.unionByName(last))
+    last = check(materialize(_outside(materialize(met(small)), materialize(met(large)), whole, similarity)))
+    return found if last.isEmpty() else components(found.toDF("u", "v").unionByName(last))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: Fraction = SIMILARITY) -> DataFrame:

@@ -71,11 +71,13 @@ def _signed(x: int) -> int:
 
 
 PIVOTS = [0, *(_signed(3 << (2 * b)) for b in range(BLOCKS))]
+#: What turns a fingerprint into itself and those one bit away.
+NEAR = [0, *(_signed(1 << b) for b in range(64))]
 
 
 def _distances(fp):
     """Hamming distances to the pivots, as an array."""
-    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte") for p in PIVOTS))
+    return F.transform(F.array(*map(F.lit, PIVOTS)), lambda p: F.bit_count(fp.bitwiseXOR(p)).cast("byte"))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -84,15 +86,16 @@ def links(fps: DataFrame) -> DataFrame:
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.sparkSession.sparkContext.defaultParallelism)
     table = fps.repartition(tasks).select("fp", _distances(F.col("fp")).alias("d"))
     coordinates = F.transform(F.slice("d", 2, BLOCKS), lambda x: F.col("d")[0] - x)
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.slice("c", GROUPS[g][0] + 1, GROUPS[g][1]) for g in chosen)) for k, chosen in enumerate(combinations(range(6), 4))))
-    keyed = table.select("fp", coordinates.alias("c")).select("fp", F.explode(keys).alias("key"))
+    groups = F.array(*(F.xxhash64(F.slice("c", first + 1, n)) for first, n in GROUPS))
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.col("g")[g] for g in chosen)) for k, chosen in enumerate(combinations(range(6), 4))))
+    keyed = table.select("fp", coordinates.alias("c")).select("fp", groups.alias("g")).select("fp", F.explode(keys).alias("key"))
     keyed = materialize(keyed)
     keyed = materialize(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     small, large = keyed.where(F.col("n") <= BUCKET), keyed.where(F.col("n") > BUCKET).select("fp").distinct()
     x, y = small.select("key", F.col("fp").alias("u")), small.select("key", F.col("fp").alias("v"))
     far = F.greatest(*(F.abs(F.bit_count(F.col("u").bitwiseXOR(F.lit(p))) - F.bit_count(F.col("v").bitwiseXOR(F.lit(p)))) for p in PIVOTS))
     pairs = x.join(y, "key").where("u < v").where(far <= 2).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).select("u", "v")
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)))
+    near = F.transform(F.array(*map(F.lit, NEAR)), lambda bit: F.col("fp").bitwiseXOR(bit))
     star = large.select("fp", F.explode(near).alias("near")).withColumn("u", F.min("fp").over(Window.partitionBy("near"))).where("u < fp").select("u", F.col("fp").alias("v"))
     return pairs.unionByName(star).distinct()
 
@@ -103,16 +106,15 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large and small stars: each round hangs neighbours on the least one, and
     the number of rounds grows with the logarithm of the longest path.
     """
-    both = lambda e: e.union(e.select("v", "u")).distinct()
     edges, before = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-        around = both(edges)
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        around = edges.union(edges.select("v", "u"))  # u > v in all edges, so none comes twice
+        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "v")
+        large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

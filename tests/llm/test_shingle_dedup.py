@@ -168,3 +168,27 @@ def test_fingerprints_link_by_themselves_what_is_within_two_bits(spark, monkeypa
     assert 20 < len(set(root.values())) < 60
     monkeypatch.undo()
     assert {x.doc_id: x.component_id for x in near_duplicates(table).collect()} == groups(docs) == {i: i // 10 * 10 for i, _ in docs}
+
+
+def test_no_query_joins_many_tables(spark, monkeypatch):
+    """The driver holds a query's plan and the tables that it broadcasts, so meetings that are dealt anew may not all end in one query."""
+    import folio.llm.shingle_dedup as s
+    import folio.llm.simhash_dedup as h
+
+    joins = []
+
+    def counted(df, write=s.materialize):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df)
+
+    monkeypatch.setattr(s, "materialize", counted)
+    monkeypatch.setattr(h, "materialize", counted)
+    base = [f"c{i}" for i in range(150)]
+
+    def edited(i, *at):
+        return " ".join(f"e{i}x{k}" if k in at else word for k, word in enumerate(base))
+
+    docs = [(i, edited(i, 5 + i % 60)) for i in range(200)] + [(200 + i, edited(200 + i, 80 + i % 25, 85 + i % 25, 95 + i % 25, 110 + i % 25)) for i in range(90)]
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {x.doc_id: x.component_id for x in rows} == groups(docs)
+    assert max(joins) <= 6, joins
